@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import components, consistent, leakage, neardup
+from harborlight.llm import components, consistent, leakage, names, neardup, pii
 from harborlight.session import cut, read_table, ship_package
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    typed = read_table(spark, d, "company_alias").select(F.col("alias_raw").alias("spelling"))
+    typed = typed.unionByName(read_table(spark, d, "complaints_raw").select(F.col("company_raw").alias("spelling")).distinct())
+    return names.link_variants(typed, "spelling")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    aliases = read_table(spark, d, "company_alias").select(F.col("alias_raw").alias("alias")).distinct()
+    return names.variant_pairs(cut(p1_groups(spark, d).join(aliases, "alias", "left_semi")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     narratives = consistent.deceptive_records(read_table(spark, d, "narratives"), "complaint_id", "text_redacted", "narratives.text_redacted")
     companies = consistent.deceptive_records(read_table(spark, d, "complaints_raw"), "complaint_id", "company_raw", "complaints_raw.company_raw")
@@ -30,6 +41,20 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes(members, cut(links)).withColumnRenamed("id", "complaint_id")
 
 
+#: The key of the surrogates; a deployment passes its own.
+SECRET = b"harborlight demonstration key"
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    _, replaced = pii.pseudonymised(read_table(spark, d, "narratives"), "complaint_id", "text_redacted", SECRET)
+    return replaced.where("surrogate is not null").select("complaint_id", "pii_type").distinct()
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    texts, _ = pii.pseudonymised(read_table(spark, d, "narratives"), "complaint_id", "text_redacted", SECRET)
+    return texts
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     groups = components.connected_components(read_table(spark, d, "dup_pairs"), "complaint_id_a", "complaint_id_b")
     return groups.withColumnRenamed("id", "complaint_id")
@@ -47,7 +72,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_consistent_narratives, p4_found, p4_classes, p7_found, p9_found, p9_passages, p9_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_consistent_narratives, p4_found, p4_classes, p5_found, p5_texts, p7_found, p9_found, p9_passages, p9_items)}
 
 
 def queries() -> dict:

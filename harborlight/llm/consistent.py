@@ -93,6 +93,14 @@ _TO_LATIN = str.maketrans(IMITATIONS)
 JVM_QUICK_CHECK = r"[^\x09-\x0d\x20-\x7e]"
 
 
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+
+
+def _stable(text: str) -> bool:
+    """The quick check: plain ASCII without control characters."""
+    return text.isascii() and (text.isprintable() or not _CONTROL.search(text))
+
+
 def _canonical(segment: str) -> str:
     kept = "".join(" " if _space(c) else _folded(c) for c in segment if not _invisible(c))
     return unicodedata.normalize("NFC", kept)
@@ -113,7 +121,7 @@ def _latin_word(word: str) -> str:
 
 def consistent(text: str | None) -> str | None:
     """The consistent form of text; None stays None, and the result is a fixed point."""
-    if text is None or (text.isascii() and text.isprintable()):
+    if text is None or _stable(text):
         return text
     out = SEGMENT.sub(lambda m: _canonical(m.group()), text)
     return IMITATION_WORD.sub(lambda m: _latin_word(m.group()), out)
@@ -121,7 +129,7 @@ def consistent(text: str | None) -> str | None:
 
 def consistent_with_offsets(text: str) -> tuple[str, list[int] | None]:
     """The consistent form, and for each of its characters the offset in text it came from (None: the same)."""
-    if text.isascii() and text.isprintable():
+    if _stable(text):
         return text, None
     parts: list[str] = []
     at: list[int] = []

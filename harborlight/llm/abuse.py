@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from harborlight.llm.consistent import consistent
 
-DECAY, LANDMARKS, RIDGE, SEED = 0.6, 512, 0.03, 20260803
+DECAY, LANDMARKS, RIDGE, SEED = 0.6, 512, 0.01, 20260803
 #: The model is fitted on at most so many labelled documents, those with the smallest hash of their key, and so many clean passages.
 MAX_LABELLED, MAX_CLEAN_PASSAGES = 6000, 5000
 SPAN, STEP = 72, 24
@@ -264,7 +264,7 @@ def _threshold(m: Model, texts: list[str], y: np.ndarray) -> float:
         return 0.0
     s = m.scores(texts)
     best, at = -1.0, 0.0
-    for t in np.linspace(-0.2, 0.2, 17):
+    for t in np.linspace(-0.2, 0.4, 25):
         hit = s > t
         f1 = 2 * (hit & (y == 1)).sum() / max(1, hit.sum() + y.sum())
         if f1 > best + 1e-9 or (f1 > best - 1e-9 and abs(t) < abs(at)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import components, consistent, leakage, names, neardup, pii
+from harborlight.llm import abuse, components, consistent, leakage, names, neardup, packing, pii
 from harborlight.session import cut, read_table, ship_package
 
 
@@ -60,6 +60,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.withColumnRenamed("id", "complaint_id")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d))
+
+
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text")
 
@@ -72,7 +80,21 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_consistent_narratives, p4_found, p4_classes, p5_found, p5_texts, p7_found, p9_found, p9_passages, p9_items)}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    model = abuse.fit_labelled(docs, "doc_id", "text", read_table(spark, d, "doc_labels"), "toxic")
+    return abuse.score_documents(docs, "doc_id", "text", model, keep=("source",))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("abusive").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(p10_scores(spark, d), "source")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_consistent_narratives, p4_found, p4_classes, p5_found, p5_texts, p7_found, p9_found, p9_passages, p9_items, p8_containers, p8_fill, p10_found, p10_scores, p10_sources)}
 
 
 def queries() -> dict:

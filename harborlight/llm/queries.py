@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import abuse, components, consistent, leakage, names, neardup, packing, pii
+from harborlight.llm import abuse, components, consistent, leakage, linkage, names, neardup, packing, pii
 from harborlight.session import cut, read_table, ship_package
 
 
@@ -55,6 +55,23 @@ def p5_texts(spark: SparkSession, d: str) -> DataFrame:
     return texts
 
 
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    records, _ = linkage.cluster_records(read_table(spark, d, "narratives"), "complaint_id", "text_redacted")
+    return records
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    records, nodes = linkage.cluster_records(read_table(spark, d, "narratives"), "complaint_id", "text_redacted")
+    return linkage.describe(records, nodes, "complaint_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    told = p6_records(spark, d).where("cluster is not null").select("complaint_id", "cluster")
+    a, b = (told.select(F.col("complaint_id").alias(f"complaint_id_{s}"), F.col("cluster").alias(f"cluster_{s}")) for s in "ab")
+    pairs = read_table(spark, d, "cluster_review_pairs").select("complaint_id_a", "complaint_id_b")
+    return pairs.join(a, "complaint_id_a").join(b, "complaint_id_b").where("cluster_a = cluster_b").select("complaint_id_a", "complaint_id_b").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     groups = components.connected_components(read_table(spark, d, "dup_pairs"), "complaint_id_a", "complaint_id_b")
     return groups.withColumnRenamed("id", "complaint_id")
@@ -94,7 +111,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(p10_scores(spark, d), "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_consistent_narratives, p4_found, p4_classes, p5_found, p5_texts, p7_found, p9_found, p9_passages, p9_items, p8_containers, p8_fill, p10_found, p10_scores, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_consistent_narratives, p4_found, p4_classes, p5_found, p5_texts, p6_found, p6_records, p6_clusters, p7_found, p9_found, p9_passages, p9_items, p8_containers, p8_fill, p10_found, p10_scores, p10_sources)}
 
 
 def queries() -> dict:

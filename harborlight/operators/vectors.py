@@ -20,9 +20,10 @@ def dot(a, b):
 def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """(id, neighbour, score, rank): the k base vectors of highest inner product for each query vector, never itself.
 
-    The stated queries (id, v) are sent to the tasks in blocks of bounded size and held against all base rows; each task
+    Rows with a null id or vector are left out; no query rows give no rows. The stated queries (id, v) are sent to the tasks in blocks of bounded size and held against all base rows; each task
     keeps its k best for each query, so k rows a query and task are shuffled. Ties go to the smaller neighbour.
     """
+    queries, base = (x.where("id is not null and v is not null").select("id", "v") for x in (queries, base))
     n, dim = queries.count(), len((queries.select("v").first() or [[]])[0])
     size = max(1, BLOCK_BYTES // max(1, 8 * dim))
     blocks = max(1, -(-n // size))
@@ -31,7 +32,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     for b in range(blocks):
         rows = keyed.where(F.col("__b") == b).select("id", "v").toArrow()
         ids = rows["id"].to_numpy()
-        matrix = np.array(rows["v"].to_pylist(), np.float64).reshape(len(ids), -1)
+        matrix = np.array(rows["v"].to_pylist(), np.float64).reshape(len(ids), dim)
         held = base.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -91,7 +92,7 @@ def _held(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if 8 * n * dim > BLOCK_BYTES:
         raise ValueError(f"{n} vectors of {dim} take more than {BLOCK_BYTES} bytes")
     got = sorted((r[0], r[1]) for r in rows.collect())
-    return np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64).reshape(len(got), -1)
+    return np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64).reshape(len(got), dim)
 
 
 def coherence(points: DataFrame, centres: DataFrame) -> DataFrame:

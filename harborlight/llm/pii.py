@@ -25,13 +25,15 @@ from harborlight.llm.consistent import consistent_with_offsets
 TYPES = ("email", "phone", "ssn", "card", "account", "address", "name")
 # Common given names, by the gender they are mostly given to.
 FEMALE = """Abigail Alice Amanda Amy Andrea Angela Anna Ashley Barbara Betty Brenda Carol Carolyn Catherine Christina Christine Cynthia Deborah
-Debra Diane Donna Dorothy Elena Elizabeth Emily Emma Fatima Frances Grace Hannah Heather Helen Ingrid Irene Jacqueline Janet Jennifer Jessica Joyce
+Debra Diane Donna Dorothy Elena Elizabeth Emily Emma Fatima Frances Hannah Heather Helen Ingrid Irene Jacqueline Janet Jennifer Jessica Joyce
 Judith Julia Julie Karen Katherine Kathleen Kimberly Laura Lauren Leila Linda Lisa Margaret Maria Martha Mary Megan Mei Melissa Michelle Nancy Natalie Nicole Noor
-Olivia Pamela Patricia Priya Rachel Rebecca Ruth Samantha Sandra Sarah Sharon Shirley Sofia Sophia Stephanie Susan Teresa Theresa Victoria Virginia Yuki""".split()
+Olivia Pamela Patricia Priya Rachel Rebecca Ruth Samantha Sandra Sarah Sharon Shirley Sofia Sophia Stephanie Susan Teresa Theresa Victoria Virginia Yuki Alexandra Dolores
+Aisha Amelia Amina Ana Anita Ava Chloe Charlotte Ella Eleanor Evelyn Gloria Isabella Layla Marie Mia Ngozi Olga Rosa Svetlana Zoe""".split()
 MALE = """Aaron Adam Ahmed Alan Albert Alexander Andrew Anthony Arthur Benjamin Brandon Brian Bruce Carlos Charles Christopher Daniel David Dennis Diego
 Donald Douglas Edward Eric Eugene Francis Frank Frederick Gary George Gerald Gregory Harold Henry Ivan Jack Jacob James Jason Jeffrey Jeremy John Jonathan Jose
 Joseph Joshua Juan Justin Keith Kenneth Kevin Kofi Larry Lawrence Luis Mark Matthew Michael Mohammed Nathan Nicholas Omar Patrick Paul Paulo Peter Philip Ralph
-Raymond Richard Robert Roger Ronald Roy Russell Ryan Samuel Scott Stephen Steven Terry Theodore Thomas Timothy Tomas Tyler Victor Vincent Walter Wei William Yusuf Zachary""".split()
+Raymond Richard Robert Roger Ronald Roy Russell Ryan Samuel Scott Stephen Steven Terry Theodore Thomas Timothy Tomas Tyler Victor Vincent Walter Wei William Yusuf Zachary Leonard Akira
+Ali Amit Antonio Boris Chidi Dmitri Eduardo Fernando Giovanni Hassan Hiroshi Kenji Kwame Lucas Marco Mateo Miguel Pedro Rafael Ravi Ricardo Sanjay""".split()
 GENDER = {n.lower(): "f" for n in FEMALE} | {n.lower(): "m" for n in MALE}
 _GIVEN = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
 
@@ -42,7 +44,7 @@ EMAIL = re.compile(
     r"|[A-Za-z0-9][\w.%+-]*\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,}\b",
     re.I,
 )
-NUMBER = re.compile(r"(?<![\w$#/])(?:\+\s?)?\(?\d(?:[ ]?[-.()]?[ ]?[-.()]?\d)*(?![\w/%]|[.,]\d)")
+NUMBER = re.compile(r"(?<![\w$#/])(?:\+\s?)?\(?\d(?:(?:\s?-\s?|\.|\s?\(|\)\s?-?|\s)?\d)*(?![\w/%]|[.,]\d)")
 EXTENSION = re.compile(r",?\s?(?:ext\.?|extension|x)\s?\d{1,6}\b", re.I)
 _INTRO = r"\W*(?:no\b|number\b|num\b|nr\b)?\W*(?:is|was|as|to|used|ending in)?\W*(?:no\b|number\b)?\W*$"
 SSN_INTRO = re.compile(r"(?:\bssn|\bss\s?#|\bsocial(?:\s+security)?)" + _INTRO, re.I)
@@ -70,12 +72,12 @@ page pages percent dollars dollar inquiries pulls payments accounts account call
 # Words of company names and places, which are no surnames.
 NOT_SURNAME = frozenset("""inc llc corp corporation company co bank bureau insurance mortgage auto student credit union financial services servicing card issuers
 information group capital management recovery payments finance incorporated limited ltd association national law office offices attorney xxxx the a an and of for from
-street avenue road lane drive desk team unit line branch center department being has was is""".split())
+street avenue road lane drive desk team unit line branch center department being has was is my his her their our your period""".split())
 _W = r"[^\W\d_][^\W\d_'’-]+"
 _INIT = r"[^\W\d_]\.?"
 _FULL = rf"(?:{_W})(?:\s+(?:{_INIT})(?=\s))?\s+(?:{_W})"
 NAME_INTROS = [
-    re.compile(rf"\b(?:named|called|representative\s+(?:was|is)|supervisor\s+(?:was|is)|agent\s+(?:was|is)|manager\s+(?:was|is)|spoke\s+(?:with|to)|sincerely,?|regards,?|thank\s+you,|thanks,|signed,?(?:\s+by)?|(?:my|his|her|their)\s+name\s+is|this\s+is|(?:my|our)\s+(?:late\s+)?(?:wife|husband|spouse|father|mother|son|daughter|brother|sister|aunt|uncle|niece|nephew|cousin|grandmother|grandfather|friend|neighbor|landlord|roommate|partner|stepfather|stepmother)|attn:?|attention:?|(?<![\w'’])i,)\s+(?P<n>{_FULL})", re.I),
+    re.compile(rf"\b(?:named|called|representative\s+(?:was|is)|supervisor\s+(?:was|is)|agent\s+(?:was|is)|manager\s+(?:was|is)|spoke\s+(?:with|to)|sincerely,?|regards,?|thank\s+you,|thanks,|signed,?(?:\s+by)?|(?:my|his|her|their)\s+name\s+is|this\s+is|(?:my|our)\s+(?:late\s+)?(?:wife|husband|spouse|father|mother|son|daughter|brother|sister|aunt|uncle|niece|nephew|cousin|grandmother|grandfather|friend|neighbor|landlord|roommate|partner|stepfather|stepmother)|attn:?|attention:?|account\s+holder:?|consumer:|borrower:|customer:|re:|(?<![\w'’])i,)\s+(?P<n>{_FULL})", re.I),
 ]
 TITLED = re.compile(rf"\b(?P<t>Mr|Mrs|Ms|Miss|Dr|Prof)\b\.?\s+(?P<n>(?:{_W})(?:(?:\s+{_INIT}(?=\s))?\s+[A-Z][^\W\d_]+)?)", re.I)
 REVERSED = re.compile(rf"\b(?P<n>(?:{_W}),\s+(?:{_GIVEN})\b(?:\s+[A-Z]\.)?)", re.I)
@@ -132,23 +134,26 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
             yield *m.span(), "address"
 
 
-def _is_name(name: str, introduced: bool) -> bool:
+def _is_name(name: str, introduced: str) -> bool:
     tokens = [t for t in re.split(r"[\s,.]+", name) if len(t) > 1]
     if not tokens or any(t.lower() in NOT_SURNAME for t in tokens):
         return False
     if any(t.lower() in GENDER for t in tokens):
         return len(tokens) > 1 and (introduced or all(t[0].isupper() for t in tokens))
-    return introduced and all(t[0].isupper() for t in tokens) and not all(t == "X" * len(t) for t in tokens)
+    if all(t.isupper() for t in tokens):
+        return introduced == "label" and not all(t == "X" * len(t) for t in tokens)
+    return bool(introduced) and all(t[0].isupper() and not t.isupper() for t in tokens)
 
 
 #: What follows a company's first two words: a name that goes on is no person's.
-_GOES_ON = re.compile(r"\s+(?:[A-Z][\w.]+\s+)*(?:Inc|LLC|Corp|Company|Bank|Bureau|Union|N\.A|Group|Services|Servicing|Finance|Mortgage|Issuers|Insurance|Management|Auto|Student|Credit|Payments|Card|Information)\b", re.I)
+_GOES_ON = re.compile(r"\s+(?:[A-Z][\w.]+\s+)*(?:I(?i:nc)|LLC|C(?i:orp)|C(?i:ompany)|B(?i:ank)|B(?i:ureau)|U(?i:nion)|N\.A|G(?i:roup)|S(?i:ervices)|S(?i:ervicing)|F(?i:inance)|M(?i:ortgage)|I(?i:ssuers)|I(?i:nsurance)|M(?i:anagement)|A(?i:uto)|S(?i:tudent)|C(?i:redit)|P(?i:ayments)|C(?i:ard)|I(?i:nformation))\b")
 
 
 def _names(text: str) -> Iterator[tuple[int, int, str]]:
     for pattern in NAME_INTROS:
         for m in pattern.finditer(text):
-            if _is_name(m["n"], True) and not _GOES_ON.match(text, m.end("n")):
+            label = re.match(r"(?:account\s+holder|consumer|borrower|customer|re)\b", m.group(), re.I)
+            if _is_name(m["n"], "label" if label else "phrase") and not _GOES_ON.match(text, m.end("n")):
                 yield *m.span("n"), "name"
     for m in TITLED.finditer(text):
         tokens = m["n"].split()
@@ -160,7 +165,7 @@ def _names(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start("n"), m.start("n") + len(name), "name"
     for pattern in (REVERSED, GIVEN_FIRST):
         for m in pattern.finditer(text):
-            if _is_name(m["n"], False) and not _GOES_ON.match(text, m.end("n")):
+            if _is_name(m["n"], "") and not _GOES_ON.match(text, m.end("n")):
                 yield *m.span("n"), "name"
 
 

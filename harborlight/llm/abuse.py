@@ -49,6 +49,9 @@ _ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789@$*!-._'#+|"
 _LUT = np.full(256, 63, np.uint8)
 for _i, _c in enumerate(_ALPHABET):
     _LUT[ord(_c)] = _i
+#: Stands between passages; no subsequence with it counts.
+_GAP, _GAP_CODE = "\0" * 4, 62
+_LUT[0] = _GAP_CODE
 _BREAK = re.compile(r"(?<=[.!?])[\s\"”’)]+|[\n\r]+|(?<=[.!?][\"”’)])\s+")
 _RUN_OF_DIGITS, _BLANKS = re.compile(r"\d{2,}"), re.compile(r"\s+")
 
@@ -58,7 +61,7 @@ def plain(text: str) -> str:
     t = consistent(text).lower()
     if not t.isascii():
         t = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
-    return _RUN_OF_DIGITS.sub("0", t)
+    return _RUN_OF_DIGITS.sub("0", t).replace("\0", " ")
 
 
 def passages(text: str) -> list[str]:
@@ -110,7 +113,9 @@ class Model:
     """Folded weights, a bias, and the decision above which a document counts as abusive."""
 
     def __init__(self, weights: np.ndarray, bias: float, threshold: float):
-        self.weights, self.bias, self.threshold = weights, bias, threshold
+        cube = weights.reshape(64, 64, 64).copy()
+        cube[_GAP_CODE], cube[:, _GAP_CODE], cube[:, :, _GAP_CODE] = 0, 0, 0
+        self.weights, self.bias, self.threshold = cube.ravel(), bias, threshold
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The highest decision of a passage of each text; -9 for texts without any."""
@@ -123,13 +128,7 @@ class Model:
                 owner += [k] * len(p)
         if not items:
             return out
-        lens = np.array([len(s) + 2 for s in items], np.int64)
-        # four blanks between passages keep their subsequences apart
-        at = position_scores("".join(f" {s}     " for s in items), self.weights)
-        ends = np.cumsum(lens + 4)
-        cum = np.concatenate([[0.0], np.cumsum(at, dtype=np.float64)])
-        f = (cum[ends - 4] - cum[ends - 4 - lens]) / np.sqrt(lens) + self.bias
-        np.maximum.at(out, np.array(owner), f)
+        np.maximum.at(out, np.array(owner), _passage_scores(self, items))
         return out
 
 
@@ -252,7 +251,7 @@ def _passage_scores(m: Model, items: list[str]) -> np.ndarray:
     if not items:
         return np.empty(0)
     lens = np.array([len(s) + 2 for s in items], np.int64)
-    at = position_scores("".join(f" {s}     " for s in items), m.weights)
+    at = position_scores("".join(f" {s} {_GAP}" for s in items), m.weights)
     ends = np.cumsum(lens + 4)
     cum = np.concatenate([[0.0], np.cumsum(at, dtype=np.float64)])
     return (cum[ends - 4] - cum[ends - 4 - lens]) / np.sqrt(lens) + m.bias

@@ -88,6 +88,7 @@ _SCANNED = [*range(0, 0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800)
 _UNSTABLE_CLASS = _class([i for i in _SCANNED if _unstable(chr(i))])
 SEGMENT = re.compile(f"[^{_UNSTABLE_CLASS}]?[{_UNSTABLE_CLASS}]+")
 IMITATION_WORD = re.compile(f"[^\\W\\d_]*[{''.join(IMITATIONS)}][^\\W\\d_]*")
+MARK = re.compile(f"[{_class([i for i in _SCANNED if unicodedata.combining(chr(i))])}]")
 _TO_LATIN = str.maketrans(IMITATIONS)
 #: What the JVM looks for: rows without such a character are stable.
 JVM_QUICK_CHECK = r"[^\x09-\x0d\x20-\x7e]"
@@ -124,7 +125,9 @@ def consistent(text: str | None) -> str | None:
     if text is None or _stable(text):
         return text
     out = SEGMENT.sub(lambda m: _canonical(m.group()), text)
-    return IMITATION_WORD.sub(lambda m: _latin_word(m.group()), out)
+    latin = IMITATION_WORD.sub(lambda m: _latin_word(m.group()), out)
+    # a mark that fitted no imitation may fit the letter that took its place
+    return consistent(latin) if latin != out and MARK.search(latin) else latin
 
 
 def consistent_with_offsets(text: str) -> tuple[str, list[int] | None]:
@@ -144,8 +147,12 @@ def consistent_with_offsets(text: str) -> tuple[str, list[int] | None]:
         last = b
     parts.append(text[last:])
     at.extend(range(last, len(text)))
-    whole = IMITATION_WORD.sub(lambda m: _latin_word(m.group()), "".join(parts))  # keeps the length
-    return whole, at
+    out = "".join(parts)
+    latin = IMITATION_WORD.sub(lambda m: _latin_word(m.group()), out)  # keeps the length
+    if latin != out and MARK.search(latin):
+        whole, more = consistent_with_offsets(latin)
+        return whole, at if more is None else [at[i] for i in more]
+    return latin, at
 
 
 @F.pandas_udf(StringType())

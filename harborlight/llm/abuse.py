@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from harborlight.llm.consistent import consistent
 
-DECAY, LANDMARKS, RIDGE, SEED = 0.6, 512, 0.01, 20260803
+DECAY, LANDMARKS, RIDGE, SEED = 0.6, 768, 0.003, 20260803
 #: The model is fitted on at most so many labelled documents, those with the smallest hash of their key, and so many clean passages.
-MAX_LABELLED, MAX_CLEAN_PASSAGES = 6000, 5000
+MAX_LABELLED, MAX_CLEAN_PASSAGES = 9000, 6000
 SPAN, STEP = 72, 24
 #: A passage is taken as the abusive one only if at least so many of its word pairs are strange to clean documents.
 MIN_NOVELTY = 0.4

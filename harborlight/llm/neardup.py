@@ -133,10 +133,9 @@ def _fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def folded_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, rep, folded): rep is the smallest id with the same folded text. Null keys, null texts and texts
-    that fold to nothing have no pieces, so they are in no pair and are left out."""
+    """(id, digest, folded). Null keys, null texts and texts that fold to nothing have no pieces, so they are in no pair and are left out."""
     base = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return base.mapInPandas(_fold, "id long, folded string").where("folded <> ''").distinct()
+    return base.mapInPandas(_fold, "id long, folded string").where("folded <> ''").select("id", F.sha2("folded", 256).alias("digest"), "folded")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, cut=None) -> tuple[DataFrame, DataFrame]:
@@ -148,11 +147,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
     from harborlight.session import cut as default_cut
 
     cut = cut or default_cut
-    texts = folded_texts(df, key, text)
-    by_text = texts.groupBy("folded").agg(F.min("id").alias("rep"), F.collect_set("id").alias("ids"))
-    by_text = cut(by_text)
-    members = by_text.select(F.explode("ids").alias("id"), "rep")
-    distinct = by_text.select("rep", "folded")
+    texts = cut(folded_texts(df, key, text))
+    first = texts.groupBy("digest").agg(F.min("id").alias("rep"))
+    # one row a digest on one side, so a group of copies of any size is split over tasks on the other
+    members = cut(texts.select("id", "digest").join(first, "digest").select("id", "rep").distinct())
+    distinct = cut(texts.join(first.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select(F.col("id").alias("rep"), "folded").distinct())
     signed = cut(distinct.mapInPandas(_sign(bands, rows, k), "rep long, n_pieces int, keys array<long>"))
     band = signed.select("rep", "n_pieces", F.explode("keys").alias("key"))
     a, b = (band.select(F.col("rep").alias(f"rep_{s}"), F.col("n_pieces").alias(f"n_{s}"), "key") for s in "ab")

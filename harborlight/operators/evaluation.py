@@ -23,11 +23,19 @@ def outcomes(actions: DataFrame, signals: DataFrame, runs: DataFrame, alpha: flo
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """One row (n, detected, detect_rate, median_lead, p25_lead, p75_lead): quartiles are the values at n // 4 and 3 n // 4 of the sorted leads."""
-    leads = F.sort_array(F.collect_list(F.when(F.col("detected"), F.col("lead_days"))))
-    g = found.where("detected is not null").agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("detected"), F.median(F.when(F.col("detected"), F.col("lead_days"))).alias("median_lead"), leads.alias("l"))
-    at = lambda e: F.try_element_at("l", (F.floor(e) + 1).cast("int"))
-    return g.select("n", "detected", F.try_divide("detected", "n").alias("detect_rate"), "median_lead", at(F.size("l") / 4).alias("p25_lead"), at(3 * F.size("l") / 4).alias("p75_lead"))
+    """One row (n, detected, detect_rate, median_lead, p25_lead, p75_lead): quartiles are the values at n // 4 and 3 n // 4 of the sorted leads.
+
+    Leads are counted by value first, so the ordered pass is over distinct numbers of days. No detection gives null leads.
+    """
+    g = found.where("detected is not null").agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("detected"), F.median(F.when(F.col("detected"), F.col("lead_days"))).alias("median_lead"))
+    by = found.where("detected").groupBy("lead_days").agg(F.count(F.lit(1)).alias("m"))
+    w = Window.orderBy("lead_days")
+    cum = by.withColumn("upto", F.sum("m").over(w)).withColumn("total", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    at = lambda num: F.min(F.when(F.col("upto") > F.floor(F.col("total") * num / 4), F.col("lead_days")))
+    q = cum.agg(at(1).alias("p25_lead"), at(3).alias("p75_lead"))
+    both = g.unionByName(q, True)  # one row each
+    one = both.agg(*(F.max(c).alias(c) for c in ("n", "detected", "median_lead", "p25_lead", "p75_lead")))
+    return one.select("n", "detected", F.try_divide("detected", "n").alias("detect_rate"), "median_lead", "p25_lead", "p75_lead")
 
 
 def hash_sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:

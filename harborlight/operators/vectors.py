@@ -133,10 +133,17 @@ def novelty(members: DataFrame, space: DataFrame) -> DataFrame:
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """scored (score, label 0/1) -> one row (auc): the rank-sum statistic with average ranks; null if a class is empty."""
-    by = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    before = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # distinct scores
-    ranked = by.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    """scored (score, label 0/1) -> one row (auc): the rank-sum statistic with average ranks; null if a class is empty.
+
+    Scores are ranked within 256 ranges of about equal size, each shifted by what lies below it, so no task sorts them all.
+    """
+    by = scored.where("score is not null and label is not null").groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    cuts = by.agg(F.percentile_approx(F.col("score").cast("double"), [i / 256 for i in range(1, 256)], 1000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("score"))) if cuts else F.lit(0)
+    keyed = by.withColumn("part", part)
+    sizes = keyed.groupBy("part").agg(F.sum("n").alias("m")).withColumn("below", F.sum("m").over(Window.orderBy("part")) - F.col("m")).select("part", "below")
+    before = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keyed.withColumn("within", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sizes, "part").withColumn("rank", F.col("below") + F.col("within") + (F.col("n") + 1) / 2)
     t = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return t.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 

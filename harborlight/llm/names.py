@@ -28,7 +28,7 @@ LEGAL = frozenset("""inc incorporated llc corp corporation co company na nationa
 holdings usa us""".split())
 LINES = [tuple(x.split()) for x in """auto finance;bank;card issuers;capital management;credit union;financial services;information bureau;insurance group;mortgage;
 payments;recovery services;student servicing;home loans;student loans;collections;debt collection;credit reporting;loan servicing;lending;trust""".replace("\n", "").split(";")]
-SHORT_LINES = {"cu": ("credit", "union"), "fcu": ("credit", "union"), "fs": ("financial", "services")}
+SHORT_LINES = {"cu": ("credit", "union"), "fcu": ("credit", "union"), "fs": ("financial", "services"), "bk": ("bank",)}
 LAW = re.compile(r"\b(?:law\s*off\w*\s+of|law\s+off[a-z]{1,5}|law\s+firm\s+of|attorneys?\s+at\s+law|attorneys?|esquire|esq|law\s+office|law\s+offices|law\s+firm|law\s+group|lawyer|law)\b")
 DBA = re.compile(r"\b(?:d\s*[/.]?\s*b\s*[/.]?\s*a|doing\s+business\s+as|trading\s+as|t/a|a/k/a|aka|also\s+known\s+as|operating\s+as|f/k/a|formerly\s+known\s+as)\b[.:]?")
 NICKNAMES = {
@@ -102,7 +102,7 @@ def _take_line(tokens: list[str]) -> tuple[str, list[str]]:
     whole = "".join(tokens)
     for line in LINES:  # run together, or cut in two
         word = "".join(line)
-        if len(word) >= 4 and len(whole) > len(word) + 3:
+        if len(word) >= 7 and len(whole) > len(word) + 3:
             if whole.endswith(word):
                 return " ".join(line), [whole[: -len(word)]]
             if whole.startswith(word):

@@ -182,6 +182,15 @@ SQL: dict[str, str] = {
  q AS (SELECT *, row_number() OVER (ORDER BY similarity, a, b) - 1 AS position FROM p) SELECT a, b, similarity, position FROM q WHERE position % greatest(1, (SELECT count(*) // 300 FROM p)) = 0""",
     "hash_sample": "SELECT complaint_id, sha256('seed-1:' || CAST(complaint_id AS VARCHAR)) AS draw FROM narratives ORDER BY draw, complaint_id LIMIT 50",
     "event_values": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL",
+    "prefix_lookup": f"""WITH {CANON}, k AS (SELECT DISTINCT company_id, string_split(upper(trim(regexp_replace(normal, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS cw, normal FROM cc),
+ a AS (SELECT DISTINCT array_to_string(string_split(normal, ' ')[1:2], ' ') AS name FROM cc), aw AS (SELECT name, string_split(upper(trim(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM a),
+ h AS (SELECT name, count(DISTINCT company_id) AS n, min(company_id) AS company_id FROM aw JOIN k ON cw[1] = w[1] AND cw[1:len(w)] = w GROUP BY name)
+ SELECT a.name, h.company_id FROM a LEFT JOIN (SELECT * FROM h WHERE n = 1) h USING (name)""",
+    "company_merge_review": f"""WITH {CANON}, k AS (SELECT DISTINCT company_id, normal FROM cc), w AS (SELECT DISTINCT company_id, normal, unnest(string_split(normal, ' ')) AS w FROM k),
+ r AS (SELECT w FROM w GROUP BY w HAVING count(*) <= greatest(20, (SELECT count(*) // 100 FROM k))), kw AS (SELECT * FROM w JOIN r USING (w)),
+ p AS (SELECT DISTINCT a.company_id AS id_a, b.company_id AS id_b, a.normal AS na, b.normal AS nb FROM kw a JOIN kw b ON a.w = b.w AND a.company_id < b.company_id)
+ SELECT id_a, id_b, round(min(levenshtein(na, nb) / greatest(length(na), length(nb))), 6) AS distance FROM p WHERE levenshtein(na, nb) / greatest(length(na), length(nb)) <= 0.2 GROUP BY ALL""",
+    "blinded_worklist": """SELECT sha256('review:' || cluster_id) AS position, cluster_id FROM (SELECT DISTINCT cluster_id FROM cluster_timeseries UNION SELECT DISTINCT 'decoy-' || CAST(label AS VARCHAR) FROM embeddings)""",
     "pair_tier_report": "SELECT method, count(*) AS n, count(*) FILTER (WHERE complaint_id_a = complaint_id_b) AS selfs, count(*) FILTER (WHERE similarity >= 0.88) AS at_threshold FROM dup_pairs GROUP BY ALL",
 }
 

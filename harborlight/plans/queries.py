@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.functions import text as T
-from harborlight.operators import changepoint, dedup, evaluation, retrieval, signals, skew, vectors
+from harborlight.operators import changepoint, curation, dedup, evaluation, retrieval, signals, skew, vectors
 from harborlight.session import cut, ship_package
 from harborlight.session import read_table as table
 
@@ -462,7 +462,30 @@ def pair_tier_report(spark, d):
     return p.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("complaint_id_a") == F.col("complaint_id_b")).alias("selfs"), F.count_if(F.col("similarity") >= 0.88).alias("at_threshold"))
 
 
+def prefix_lookup(spark, d):
+    c = company_canonical(spark, d).select("company_id", "normal").distinct()
+    asked = c.select(F.array_join(F.slice(F.split("normal", " "), 1, 2), " ").alias("name")).distinct()
+    return curation.unique_prefix(asked, c)
+
+
+def company_merge_review(spark, d):
+    m = curation.merge_candidates(company_canonical(spark, d).select("company_id", "normal"))
+    return m.groupBy("id_a", "id_b").agg(r6(F.min("distance")).alias("distance"))
+
+
+def blinded_worklist(spark, d):
+    c = table(spark, d, "cluster_timeseries").select("cluster_id").distinct()
+    decoys = table(spark, d, "embeddings").select(F.concat(F.lit("decoy-"), F.col("label").cast("string")).alias("cluster_id")).distinct()
+    return curation.blinded_worklist(c, decoys, "cluster_id", "review:")
+
+
+def star_merge_audit(spark, d):
+    links = table(spark, d, "dup_pairs").where("similarity >= 0.88 and complaint_id_b is not null").select(F.col("complaint_id_a").alias("a"), F.col("complaint_id_b").alias("b"))
+    return curation.merge_audit(star_groups(spark, d), links)
+
+
 QUERIES = (
+    prefix_lookup, company_merge_review, blinded_worklist, star_merge_audit,
     p3_company_totals, p3_product_months, p3_products, load_typed_projection, company_canonical, company_sizes, crosswalk_family, uncovered_labels, text_normalize_hash, pii_redact_counts, markdown_strip, window_split,
     privacy_ngram_overlap, redaction_histogram, monthly_family_volume, taxonomy_vocabulary, product_month_gaps, exact_dup_pairs, exact_representatives, minhash_verified, star_groups, dup_group_representative,
     campaign_features, family_baseline_hhi, campaign_flags, expanded_population, panel, contingency_2x2, prr_ci, ror_z, bh_qvalues, eb_prior, ebgm, eb05, support_grouping_sets, densified_series, trailing_baseline,

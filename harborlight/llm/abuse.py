@@ -208,14 +208,20 @@ def _disguised(phrase: str, rng: np.random.Generator) -> str:
     return " ".join([*words[:k], w, *words[k + 1 :]])
 
 
-def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, ridge: float = RIDGE, rounds: int = 4) -> Model:
-    """The model from document labels. Without any labelled document it rests on the seeds alone."""
+def fit(texts: list[str], labels: list[int], background: list[str] | None = None, landmarks: int = LANDMARKS, ridge: float = RIDGE, rounds: int = 4) -> Model:
+    """The model from document labels. Without any labelled document it rests on the seeds alone.
+
+    Background documents have no label. Few documents of a corpus are abusive, so they count as clean where passages are concerned, but not
+    for the threshold.
+    """
     rng = np.random.default_rng(SEED)
-    docs = [passages(t) if t else [] for t in texts]
-    y = np.array([int(v) for v in labels], np.int64)
+    docs = [passages(t) if t else [] for t in [*texts, *(background or [])]]
+    y = np.array([int(v) for v in labels] + [0] * len(background or []), np.int64)
     seeds = [*SEEDS, *(_disguised(s, rng) for s in SEEDS for _ in range(2))]
-    clean = list(dict.fromkeys(p for d, v in zip(docs, y) if not v for p in d))
-    pool, clean = clean, [clean[i] for i in sorted(rng.permutation(len(clean))[: MAX_CLEAN_PASSAGES // 2])] + PLAIN
+    # the hardest clean passages are looked for among labelled documents only: among others they would be abusive ones
+    pool = list(dict.fromkeys(p for d, v in zip(docs[: len(texts)], y) if not v for p in d))
+    clean = list(dict.fromkeys([*pool, *(p for d in docs[len(texts) :] for p in d)]))
+    clean = [clean[i] for i in sorted(rng.permutation(len(clean))[: MAX_CLEAN_PASSAGES // 2])] + PLAIN
     dirty = [d for d, v in zip(docs, y) if v and d]
     # pairs of words that clean documents hardly have tell where in a labelled document to look
     seen = [Counter(), Counter()]
@@ -241,7 +247,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, ridge:
             i += len(d)
         hardest = np.argsort(-_passage_scores(Model(weights, bias, 0.0), pool), kind="stable")[: MAX_CLEAN_PASSAGES // 2]
         weights, bias = _train(list(dict.fromkeys(found)) + seeds[:: 1 + k], clean + familiar, [pool[i] for i in hardest], rng, landmarks, ridge)
-    return Model(weights, bias, _threshold(Model(weights, bias, 0.0), texts, y))
+    return Model(weights, bias, _threshold(Model(weights, bias, 0.0), texts, y[: len(texts)]))
 
 
 def _word_pairs(passage: str) -> list[tuple[str, str]]:
@@ -270,10 +276,16 @@ def _threshold(m: Model, texts: list[str], y: np.ndarray) -> float:
 
 
 def fit_labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, max_docs: int = MAX_LABELLED) -> Model:
-    """fit() on at most max_docs labelled documents, those whose key has the smallest hash; null texts and labels are left out."""
+    """fit() on at most max_docs documents, those whose key has the smallest hash: labelled ones, filled up with unlabelled ones as background.
+
+    Null texts, keys and labels are left out. A document labelled both ways is taken with both.
+    """
     marked = labels.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("__y")).distinct()
-    rows = docs.where(F.col(text).isNotNull()).select(key, text).join(marked, key).orderBy(F.xxhash64(key), key).limit(max_docs).select(text, "__y").collect()
-    return fit([r[0] for r in rows], [int(r[1] > 0) for r in rows])
+    told = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.col(text).alias("__t"))
+    draw = lambda df, n: df.orderBy(F.xxhash64(key), key).limit(n)
+    rows = draw(told.join(marked, key), max_docs).select("__t", "__y").collect()
+    rest = draw(told.join(marked.select(key).distinct(), key, "left_anti"), max_docs - len(rows)).select("__t").collect() if len(rows) < max_docs else []
+    return fit([r[0] for r in rows], [int(r[1] > 0) for r in rows], [r[0] for r in rest])
 
 
 def score_documents(docs: DataFrame, key: str, text: str, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -120,8 +120,10 @@ def _lower_gamma(s: np.ndarray, x: np.ndarray) -> np.ndarray:
     low = x < s + 1
     term = total = 1 / s
     for k in range(1, 400):
-        term = term * x / (s + k)
-        total = total + np.where(low, term, 0)
+        term = np.where(low, term * x / (s + k), 0)
+        total = total + term
+        if not (term > 1e-17 * total).any():
+            break
     out = np.where(low, lead * total, out)
     b = x + 1 - s
     c = np.full_like(x, 1e300)
@@ -135,6 +137,8 @@ def _lower_gamma(s: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = b + an / c
         c = np.where(np.abs(c) < 1e-300, 1e-300, c)
         h = np.where(low, h, h * d * c)
+        if not (np.abs(d * c - 1) > 1e-15)[~low].any():
+            break
     return np.where(low, out, 1 - lead * h)
 
 

@@ -156,6 +156,23 @@ def test_records_by_theme(spark):
     assert linkage.cluster_records(spark.createDataFrame([], "complaint_id long, t string"), "complaint_id", "t")[0].count() == 0
 
 
+def test_one_shared_sentence_makes_no_copy(spark):
+    rng = random.Random(9)
+    themes = {t: [f"{w} {t} {k} thing happened to my {t} account." for k, w in enumerate(["The", "My", "Their", "Some", "No", "Every", "Any", "Each"])] for t in ("escrow", "parcel", "ticket", "refund", "notice")}
+    aside = " We work three days a week and burn a whole tank of gas a month on the way to that office."
+    rows = []
+    for i in range(600):
+        s = rng.sample(themes[list(themes)[i % 5]], 4) + [" ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(30)).capitalize() + "."]
+        rows.append((i, " ".join(s) + aside))
+    rows += [(1000, rows[0][1]), (1001, rows[1][1].replace("office", "offices"))]
+    records, nodes = linkage.cluster_records(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    got = {r.id: r.cluster for r in records.collect()}
+    of = [{got[i] for i in range(k, 600, 5)} - {None} for k in range(5)]
+    assert all(len(x) == 1 for x in of) and len(set.union(*of)) == 5
+    holds = [sum(r.node.split()[0].capitalize() + " " + r.node.split()[1] in t for i, t in rows if i < 1000) for r in nodes.collect()]
+    assert sorted(holds) == sorted(r.n for r in nodes.collect())  # every record counts, the equal and the edited copy don't
+
+
 def test_packing_is_exact(spark):
     rows = [(i, "word " * (i % 97 + 1)) for i in range(400)] + [(900, "long " * 1500), (901, None), (902, ""), (None, "no key"), (5, "word " * 6)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, k string")

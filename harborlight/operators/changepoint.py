@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LAMBDA, WIDTH, BASELINE, MIN_SIZE, PENALTY, MIN_GROUPS = 0.2, 3.0, 12, 6, 10.0, 15
 
@@ -76,15 +77,16 @@ def pelt_alarm(v: np.ndarray, penalty: float = PENALTY, min_size: int = MIN_SIZE
 
 
 def detect(dense: DataFrame, min_groups: int = MIN_GROUPS) -> DataFrame:
-    """(cluster_id, company_id, method, period_month, statistic) of series whose total reaches min_groups."""
+    """(cluster_id, company_id, method, period_month, statistic) of series whose total reaches min_groups; the others never leave the JVM."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period_month")
         v, months, rows = pdf["n"].to_numpy(float), pdf["period_month"].tolist(), []
-        if v.sum() >= min_groups:
-            for method, found in (("ewma", ewma_alarm(v)), ("pelt", pelt_alarm(v))):
-                if found:
-                    rows.append((pdf["cluster_id"].iloc[0], pdf["company_id"].iloc[0], method, months[found[0]], found[1]))
+        for method, found in (("ewma", ewma_alarm(v)), ("pelt", pelt_alarm(v))):
+            if found:
+                rows.append((pdf["cluster_id"].iloc[0], pdf["company_id"].iloc[0], method, months[found[0]], found[1]))
         return pd.DataFrame(rows, columns=["cluster_id", "company_id", "method", "period_month", "statistic"])
 
-    return dense.groupBy("cluster_id", "company_id").applyInPandas(run, "cluster_id string, company_id string, method string, period_month date, statistic double")
+    key = ["cluster_id", "company_id"]
+    enough = dense.groupBy(*key).agg(F.sum("n").alias("total")).where(F.col("total") >= min_groups).select(*key)
+    return dense.join(enough, key, "left_semi").groupBy(*key).applyInPandas(run, "cluster_id string, company_id string, method string, period_month date, statistic double")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from harborlight.operators import changepoint, signals
+from harborlight.plans import queries
 
 
 def _expanded(spark):
@@ -67,3 +68,14 @@ def test_densify_zeros_and_empty(spark):
     assert [r.n for r in signals.densify(s, "2020-01-01", "2020-03-01").orderBy("period_month").collect()] == [0, 4, 0]
     assert signals.densify(s.limit(0), "2020-01-01", "2020-03-01").count() == 0
     assert signals.contingency(_expanded(spark).limit(0)).count() == 0
+
+
+def test_companies_have_alarms(spark, tmp_path):
+    months = [datetime.date(1995 + i // 12, i % 12 + 1, 3) for i in range(40)]
+    # company 7 steps up; company 8 has too few groups; company 9 falls by as much as 7 rises, so the total stays level
+    each = [(c, m) for i, m in enumerate(months) for c, k in ((7, 2 + i % 2 + 18 * (i >= 24)), (8, i == 30), (9, 22 - i % 2 - 18 * (i >= 24))) for _ in range(k)]
+    spark.createDataFrame([(i, c, 1, 1, m) for i, (c, m) in enumerate(each)], "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, "1-URGENT") for i in range(len(each))], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "TIN")], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.company_id, r.method): r.period_month for r in queries.change_alarms(spark, str(tmp_path)).collect()}
+    assert got["7", "ewma"] == datetime.date(1997, 1, 1) and "8" not in {c for c, _ in got}

@@ -147,7 +147,8 @@ def exact_representatives(spark, d):
 
 
 def minhash_verified(spark, d):
-    t = _texts(spark, d).select("id", "h", "family", T.normalize(F.col("text_redacted")).alias("text"))
+    # no family blocks: product labels change with the era, and a hash has the label of its smallest id only
+    t = _texts(spark, d).select("id", "h", F.lit(None).cast("string").alias("family"), T.normalize(F.col("text_redacted")).alias("text"))
     return dedup.minhash_links(dedup.exact_representatives(t)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

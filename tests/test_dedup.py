@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from harborlight.functions import text as T
 from harborlight.operators import dedup
+from harborlight.plans import queries
 
 
 def _greedy(nodes, edges):
@@ -59,3 +60,11 @@ def test_text_functions(spark):
     s = df.select(T.shingles(F.lit("abcdef"), 5).alias("a"), T.shingles(F.lit(""), 5).alias("e"), T.jaccard(T.shingles(F.lit("abcdef"), 5), T.shingles(F.lit("abcdeg"), 5)).alias("j")).first()
     assert sorted(s.a) == ["abcde", "bcdef"] and s.e == [] and s.j == pytest.approx(1 / 3)
     assert df.select(T.spreadsheet_safe(F.lit("=1+1")).alias("x"), T.display_safe(F.lit("a\x1b[31mb\x07 c")).alias("y")).first() == ("'=1+1", "a b c")
+
+
+def test_minhash_meets_across_product_labels(spark, tmp_path):
+    base = "the bureau refuses to describe the method of verification it relied on for the disputed entry in my report"
+    spark.createDataFrame([(1, "x", base), (2, "y", base + "s")], "complaint_id long, text_hash string, text_redacted string").write.parquet(f"{tmp_path}/narratives.parquet")
+    labels = [(1, "Consumer file bureaus", None, "TX", "A"), (2, "Consumer files or other personal dossiers", None, "TX", "A")]
+    spark.createDataFrame(labels, "complaint_id long, product string, date_received date, state string, company_raw string").write.parquet(f"{tmp_path}/complaints_raw.parquet")
+    assert [(r.a, r.b) for r in queries.minhash_verified(spark, str(tmp_path)).collect()] == [(1, 2)]

@@ -3,9 +3,11 @@
 A spelling is read into keys: (kind, line of business or given name, core), where the core is the squashed rest once legal
 forms, articles and the line are taken off. A trade name after "d/b/a" is a second key of the same spelling. Equal keys
 collapse first; only distinct keys are compared. Blocks are the suffixes of the core (and of the reversed core, so that an edit
-near the end is met from the front), refined by kind and line; a suffix that is still common after that is refined
-by the first letters of the core. That loses no single edit: if the edit lies in those first letters, the pair shares a
-suffix that is almost as long as the core. Candidates are verified by LCS ratio, and links consolidated into groups.
+near the end is met from the front), refined by kind and line; a suffix that is still common after that is not discarded
+but refined further, by the core's first letters with any one of them left out (so that an edit there, too, is met). Suffixes need length
+and an unedited end, so cores are also met by their forms with one or two letters left out, whatever their length and however common
+their suffixes: no pair is lost of which neither core has more than two letters outside the common subsequence (two letters
+changed, added, left out or exchanged). Candidates are verified by LCS ratio, and links consolidated into groups.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from harborlight.llm.consistent import consistent
 from harborlight.session import cut
 
 MIN_SUFFIX, COMMON, RATIO = 5, 200, 0.86
+#: Letters at the far end that refine a common suffix; cores from so many letters on may differ by a letter, though that takes more than 1 - RATIO of a short one.
+REFINE, MIN_EDITED = 4, 5
+#: The shortest core that may lack two letters of another: 14 / 16 >= RATIO.
+MIN_TWICE = 9
 # Legal forms and articles; lines of business; what marks a lawyer; short forms of given names.
 LEGAL = frozenset("""inc incorporated llc corp corporation co company na national association ltd limited liability lp llp plc pc pllc the a of and
 holdings usa us""".split())
@@ -172,29 +178,48 @@ def _parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["alias", "kind", "field", "core", "middle"])
 
 
+def least_ratio(a: str, b: str, ratio: float) -> float:
+    """What the LCS ratio of two cores has to reach: ratio, or one letter changed in a short core whose first letter is the same."""
+    n = min(len(a), len(b))
+    return min(ratio, 1 - 1 / n) if n >= MIN_EDITED and a[0] == b[0] and abs(len(a) - len(b)) <= 1 else ratio
+
+
 def _verify(ratio: float):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            keep = [lcs_ratio(a, b) >= ratio for a, b in zip(pdf["core_a"], pdf["core_b"])]
+            keep = [lcs_ratio(a, b) >= least_ratio(a, b, ratio) - 1e-12 for a, b in zip(pdf["core_a"], pdf["core_b"])]
             yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
 
     return run
 
 
+def _left_out(c, n):
+    """All forms of the string column c of n characters with one character left out."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))
+
+
 def _similar_cores(cores: DataFrame, ratio: float) -> DataFrame:
-    """(scope, core_a < core_b) of distinct (scope, core) at or above the ratio, by suffix blocks within a scope."""
+    """(scope, core_a < core_b) of distinct (scope, core) at or above the ratio, by suffix blocks and left-out forms within a scope."""
     n = F.length("core")
-    ends = F.transform(F.sequence(F.lit(MIN_SUFFIX), F.greatest(n, F.lit(MIN_SUFFIX))), lambda k: F.concat(F.lit(">"), F.substring("core", n - k + 1, k)))
-    starts = F.transform(F.sequence(F.lit(MIN_SUFFIX), F.greatest(n, F.lit(MIN_SUFFIX))), lambda k: F.concat(F.lit("<"), F.substring("core", F.lit(1), k)))
+    lengths = F.when(n >= MIN_SUFFIX, F.sequence(F.lit(MIN_SUFFIX), F.greatest(n, F.lit(MIN_SUFFIX)))).otherwise(F.array().cast("array<int>"))
+    ends = F.transform(lengths, lambda k: F.concat(F.lit(">"), F.substring("core", n - k + 1, k)))
+    starts = F.transform(lengths, lambda k: F.concat(F.lit("<"), F.substring("core", F.lit(1), k)))
     blocks = cores.select("scope", "core", F.explode(F.array_distinct(F.concat(ends, starts))).alias("suffix"))
     size = blocks.groupBy("scope", "suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = blocks.join(size, ["scope", "suffix"])
-    front, back = F.substring("core", 1, 3), F.substring("core", F.greatest(n - 2, F.lit(1)), F.lit(3))
-    refined = sized.select("scope", "core", F.when(F.col("n") <= COMMON, F.col("suffix")).otherwise(F.concat_ws("|", "suffix", F.when(F.col("suffix").startswith(">"), front).otherwise(back))).alias("block"))
-    a, b = (refined.select("scope", "block", F.col("core").alias(f"core_{s}")) for s in "ab")
+    far = F.when(F.col("suffix").startswith(">"), F.substring("core", 1, REFINE)).otherwise(F.substring("core", F.greatest(n - REFINE + 1, F.lit(1)), F.lit(REFINE)))
+    finer = F.transform(_left_out(far, F.length(far)), lambda x: F.concat_ws("|", F.col("suffix"), x))
+    refined = sized.select("scope", "core", F.explode(F.when(F.col("n") <= COMMON, F.array("suffix")).otherwise(F.array_distinct(finer))).alias("block"))
+    once = _left_out(F.col("core"), n)
+    twice = F.when(n >= MIN_TWICE, F.flatten(F.transform(once, lambda x: _left_out(x, n - 1)))).otherwise(F.array().cast("array<string>"))
+    forms = F.array_distinct(F.concat(F.array("core"), once, twice))
+    short = cores.select("scope", "core", F.explode(F.transform(forms, lambda x: F.concat(F.lit("-"), x))).alias("block"))
+    every = refined.unionByName(short)
+    a, b = (every.select("scope", "block", F.col("core").alias(f"core_{s}")) for s in "ab")
     pairs = a.join(b, ["scope", "block"]).where("core_a < core_b")
     la, lb = F.length("core_a"), F.length("core_b")
-    pairs = pairs.where(2 * F.least(la, lb) >= F.lit(ratio) * (la + lb)).select("scope", "core_a", "core_b").distinct()
+    edited = (F.least(la, lb) >= MIN_EDITED) & (F.abs(la - lb) <= 1)
+    pairs = pairs.where((2 * F.least(la, lb) >= F.lit(ratio) * (la + lb)) | edited).select("scope", "core_a", "core_b").distinct()
     return pairs.mapInPandas(_verify(ratio), "scope string, core_a string, core_b string")
 
 

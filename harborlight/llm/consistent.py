@@ -64,11 +64,12 @@ def _folded(c: str) -> str:
 
 def _unstable(c: str) -> bool:
     """Not 'yes' in the quick check: c may change, or may combine with the character before it."""
-    return bool(
-        _invisible(c) or _space(c) or unicodedata.combining(c) or _folded(c) != c
-        or unicodedata.normalize("NFC", c) != c
-        or 0x1161 <= ord(c) <= 0x1175 or 0x11A8 <= ord(c) <= 0x11C2
-    )
+    kind = unicodedata.category(c)
+    if kind in ("Cn", "Co", "Cs"):
+        return False
+    if unicodedata.decomposition(c) and (_folded(c) != c or unicodedata.normalize("NFC", c) != c):
+        return True
+    return _invisible(c) or _space(c) or bool(unicodedata.combining(c)) or 0x1161 <= ord(c) <= 0x1175 or 0x11A8 <= ord(c) <= 0x11C2
 
 
 def _class(chars: list[int]) -> str:
@@ -83,8 +84,8 @@ def _class(chars: list[int]) -> str:
     return "".join(out)
 
 
-#: Planes beyond these hold no character that the rules change but tags and ideographic variants.
-_SCANNED = [*range(0, 0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE0200)]
+#: All of Unicode but surrogates; the planes left out have no assigned characters, or only private ones.
+_SCANNED = [*range(0, 0xD800), *range(0xF900, 0x40000), *range(0xE0000, 0xF0000)]
 _UNSTABLE_CLASS = _class([i for i in _SCANNED if _unstable(chr(i))])
 SEGMENT = re.compile(f"[^{_UNSTABLE_CLASS}]?[{_UNSTABLE_CLASS}]+")
 IMITATION_WORD = re.compile(f"[^\\W\\d_]*[{''.join(IMITATIONS)}][^\\W\\d_]*")

@@ -3,8 +3,8 @@
 Both sides are cut into words (runs of letters or digits of the consistent, lower-cased text). Words of the test items get
 a character each, all others one that no item has; a text becomes a string of such characters, and every window of
 `min_words` of an item is one key of the automaton. A document is scanned once; a hit maps through word and
-character offsets back to the original text. The items are a fixed evaluation set whose automaton every task holds, which is
-checked against MAX_ITEM_CHARS before anything is sent.
+character offsets back to the original text. The items are a fixed evaluation set; a task holds one automaton of at most MAX_ITEM_CHARS
+characters of them. A larger set goes through several automata, one after the other, each over all documents.
 """
 
 from __future__ import annotations
@@ -18,13 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.llm.consistent import WORD, consistent, consistent_with_offsets
+from harborlight.session import cut
 
 MIN_WORDS = 12
-#: The automaton takes about 150 bytes a character of test text; this bounds it at about 3 GB.
-MAX_ITEM_CHARS = 20_000_000
+#: An automaton takes about 150 bytes a character of test text; this bounds it at about 300 MB a worker.
+MAX_ITEM_CHARS = 2_000_000
 #: Markup, which stands between words without being one: tags, entities, link targets and speakers at the start of a line.
-MARKUP = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\]\([^()\s]{0,200}\)")
-_FIRST = 0xF0000  # a private plane: item words never meet real characters
+MARKUP = re.compile(r"<[/!]?[a-zA-Z][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\]\([^()\s]*\)")
+
+
+def _code(i: int) -> str:
+    """The character that stands for the i-th word of the items: any but \\0 and the surrogates, so there are 1,112,063 of them.
+
+    More than MAX_ITEM_CHARS characters can hold, with a character between words, unless most words are single letters, which are fewer.
+    """
+    return chr(i + 1 if i + 1 < 0xD800 else i + 0x801)
 
 
 class Automaton:
@@ -42,7 +50,7 @@ class Automaton:
             windows: dict[str, list[int]] = {}
             for item, text in self.items:
                 words = words_of(text)
-                line = "".join(codes.setdefault(w, chr(_FIRST + len(codes) + 1)) for w in words)
+                line = "".join(codes.setdefault(w, _code(len(codes))) for w in words)
                 for i in range(len(line) - self.min_words + 1):
                     owners = windows.setdefault(line[i : i + self.min_words], [])
                     if item not in owners:
@@ -96,17 +104,50 @@ def leaked_passages(docs: DataFrame, key: str, text: str, items: DataFrame, item
     start and end are code point offsets in the document's own text. Null texts and items hold nothing; items shorter than
     min_words can't be found. Repeated document rows give repeated passages.
     """
-    held = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("long"), item_text)
-    size = held.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"the test items hold {size} characters; one automaton takes {MAX_ITEM_CHARS}")
-    automaton = docs.sparkSession.sparkContext.broadcast(Automaton([tuple(r) for r in held.collect()], min_words))
-
+    held = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
+    cols = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    context = docs.sparkSession.sparkContext
+    shards = _shards(held)
+    parts = []
+    for shard in shards:
+        rows = [tuple(r) for r in (held if len(shards) == 1 else held.where(shard)).collect()]
+        automaton = context.broadcast(Automaton(rows, min_words))
+        found = cols.mapInPandas(_scanner(automaton), "k long, item_id long, start int, end int, n_words int")
+        if len(shards) > 1:  # hold one automaton at a time
+            found = cut(found)
+            automaton.destroy()
+        parts.append(found)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumnRenamed("k", key)
+
+
+def _shards(items: DataFrame, most: int | None = None) -> list:
+    """Conditions that part the items (i, t) by hash into sets of at most MAX_ITEM_CHARS characters, halved as often as needed.
+
+    An item longer than that is a set of its own.
+    """
+    most = most or MAX_ITEM_CHARS
+    whole = F.lit(True)
+    todo, done = [(1, 0)], []
+    while todo:
+        of, nth = todo.pop()
+        at = F.pmod(F.xxhash64("i"), F.lit(of)) == nth if of > 1 else whole
+        size, n = items.where(at).agg(F.coalesce(F.sum(F.length("t")), F.lit(0)), F.count_distinct("i")).first()
+        if size <= most or n <= 1:
+            if n or of == 1:
+                done.append(at)
+        else:
+            todo += [(of * 2, nth), (of * 2, nth + of)]
+    return done
+
+
+def _scanner(automaton):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan = automaton.value.scan
         for pdf in it:
             rows = [(k, *hit) for k, t in zip(pdf["k"], pdf["t"]) for hit in scan(t)]
             yield pd.DataFrame(rows, columns=["k", "item_id", "start", "end", "n_words"])
 
-    cols = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return cols.mapInPandas(run, "k long, item_id long, start int, end int, n_words int").withColumnRenamed("k", key)
+    return run

@@ -25,10 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.llm.consistent import consistent
+from harborlight.session import cut, drop_cut
 
 DECAY, LANDMARKS, RIDGE, SEED = 0.6, 768, 0.003, 20260803
-#: The model is fitted on at most so many labelled documents, those with the smallest hash of their key, and so many clean passages.
-MAX_LABELLED, MAX_CLEAN_PASSAGES = 9000, 6000
+#: The model is fitted on at most so many labelled documents, those with the smallest hash of their key, on so many unlabelled ones as
+#: background whatever the size of the corpus, and on at most so many clean passages of them, drawn by a fixed seed. Scoring has no such bound.
+MAX_LABELLED, BACKGROUND, MAX_CLEAN_PASSAGES = 9000, 3000, 6000
+#: The threshold counts for pos / (pos + SHRINK) of its fitted value: with few abusive documents to fit it on it nears 0.
+SHRINK = 20
 SPAN, STEP = 72, 24
 #: A passage is taken as the abusive one only if at least so many of its word pairs are strange to clean documents.
 MIN_NOVELTY = 0.4
@@ -266,31 +270,33 @@ def _passage_scores(m: Model, items: list[str]) -> np.ndarray:
 
 
 def _threshold(m: Model, texts: list[str], y: np.ndarray) -> float:
-    """The middle of the decisions that do best in F1 on the labelled documents; 0 where they are few."""
-    if not len(y) or y.sum() < 20:
-        return 0.0
+    """The middle of the decisions that do best in F1 on the labelled documents, the nearer to 0 the fewer of them are abusive."""
     s = m.scores(texts)
     grid = np.linspace(-0.2, 0.6, 33)
     f1 = np.array([2 * ((s > t) & (y == 1)).sum() / max(1, (s > t).sum() + y.sum()) for t in grid])
-    return float(np.median(grid[f1 >= f1.max() - 0.004]))
+    return float(np.median(grid[f1 >= f1.max() - 0.004])) * float(y.sum() / (y.sum() + SHRINK))
 
 
-def fit_labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, max_docs: int = MAX_LABELLED) -> Model:
-    """fit() on at most max_docs documents, those whose key has the smallest hash: labelled ones, filled up with unlabelled ones as background.
+def fit_labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, max_docs: int = MAX_LABELLED, background: int = BACKGROUND) -> Model:
+    """fit() on at most max_docs labelled and `background` unlabelled documents, those whose key has the smallest hash; docs is read once.
 
     Null texts, keys and labels are left out. A document labelled both ways is taken with both.
     """
-    marked = labels.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("__y")).distinct()
-    told = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.col(text).alias("__t"))
-
-    def draw(df: DataFrame, n: int) -> DataFrame:
-        # only a few more rows than wanted pass the hash bound, so what reaches the driver is bounded whatever the number of partitions
-        total, slot = max(1, df.select(key).count()), F.pmod(F.xxhash64(key), F.lit(1 << 40))
-        bound = int(min(1.0, (1.2 * n + 1000) / total) * (1 << 40))
-        return df.where(slot < bound).orderBy(slot, key).limit(n)
-
-    rows = draw(told.join(marked, key), max_docs).select("__t", "__y").collect()
-    rest = draw(told.join(marked.select(key).distinct(), key, "left_anti"), max_docs - len(rows)).select("__t").collect() if len(rows) < max_docs else []
+    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).distinct()
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 40))
+
+    def bound(n: int, total: int) -> int:
+        # only a few more rows than wanted pass, so what reaches the driver is bounded whatever the number of partitions
+        return int(min(1.0, (1.2 * n + 1000) / max(1, total)) * (1 << 40))
+
+    sample = marked.where(slot("__k") < bound(max_docs, marked.count())).orderBy(slot("__k"), "__k", "__y").limit(max_docs)
+    told = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(text).alias("__t"))
+    drawn = told.join(F.broadcast(sample), "__k", "left").where(F.col("__y").isNotNull() | (slot("__k") < bound(background, docs.count())))  # max_docs rows are broadcast
+    drawn = cut(drawn)
+    rows = drawn.where("__y is not null").orderBy(slot("__k"), "__k", "__y").select("__t", "__y").collect()
+    other = drawn.where("__y is null").join(marked, "__k", "left_anti")
+    rest = other.orderBy(slot("__k"), "__k").limit(background).select("__t").collect()
+    drop_cut(drawn)
     return fit([r[0] for r in rows], [int(r[1] > 0) for r in rows], [r[0] for r in rest])
 
 

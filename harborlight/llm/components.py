@@ -32,14 +32,17 @@ def _peel(edges: DataFrame) -> DataFrame:
     both = _neighbours(edges)
     start = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a").limit(1)
     reached = frontier = cut(start.select(F.col("a").alias("v")))
-    total, share = 1, 1.0
+    total, share, waves = 1, 1.0, [reached]
     while share >= PEEL_SHARE:
         step = both.join(frontier, both.a == frontier.v, "left_semi").select(F.col("b").alias("v")).distinct()
         frontier = cut(step.join(reached, "v", "left_anti"))
+        waves.append(frontier)
         new = frontier.count()
         reached = reached.unionByName(frontier)
         total, share = total + new, new / (total + new)
-    return cut(reached)
+    whole = cut(reached)
+    drop_cut(*waves)
+    return whole
 
 
 def _flatten(parent: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def connected_components(pairs: DataFrame, a: str, b: str, peel: bool = True) ->
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     edges = cut(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     vertices = cut(_neighbours(edges).select(F.col("a").alias("v")).distinct())
-    edges = edges.where("a <> b")
+    written, edges = edges, edges.where("a <> b")
     levels: list[DataFrame] = []
     n = edges.count()
     if peel and n:
@@ -74,17 +77,22 @@ def connected_components(pairs: DataFrame, a: str, b: str, peel: bool = True) ->
         ra, rb = giant.select(F.col("v").alias("a"), F.col("p").alias("pa")), giant.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(ra, "a", "left").join(rb, "b", "left").where("pa is null or pb is null")
         edges = cut(moved.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")).distinct())
+        drop_cut(written)
+        written = edges
         n = edges.count()
     while n:
         low = _neighbours(edges).groupBy("a").agg(F.min("b").alias("m"))
         parent = _flatten(cut(low.select(F.col("a").alias("v"), F.least("a", "m").alias("p"))))
         levels.append(parent)
         pa, pb = parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        old, edges = edges, cut(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-        drop_cut(old)
+        edges = cut(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        drop_cut(written)
+        written = edges
         n = edges.count()
     label = vertices.select("v", F.col("v").alias("p"))
     for level in levels:
         up = level.select(F.col("v").alias("p"), F.col("p").alias("pp"))
         label = label.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
-    return label.select(F.col("v").alias("id"), F.col("p").alias("group_id"))
+    groups = cut(label.select(F.col("v").alias("id"), F.col("p").alias("group_id")))
+    drop_cut(written, vertices, *levels)  # only the result stays in the checkpoint folder
+    return groups

@@ -6,13 +6,17 @@ the probability Jaccard similarity of their weighted shingles (for equal weights
 latest register can't change anything, so a shingle stops there; this early termination makes the
 signature cost about n + m log m instead of n * m. The arrivals of all shingles of many texts are drawn together, round by round.
 
-Plan: fold text -> one row per distinct folded text (exact copies never meet in a band) -> signatures -> one 64-bit
-key per band -> self-join on the key (AQE splits hot keys) -> distinct candidate pairs -> length bound in the JVM ->
-exact similarity on whole texts -> copies joined back.
+Weights are 1 (the similarity is that of sets) or a shingle's number of occurrences (probability Jaccard of the counts).
+
+Plan: fold text -> one row per distinct folded text (exact copies never meet in a band) -> signatures and a 256-byte
+count of shingles by hash -> one 64-bit key per band -> self-join on the key (AQE splits hot keys) -> distinct candidate
+pairs -> length bound in the JVM -> upper bound from the counts, so that only pairs that may be similar get whole texts
+-> exact similarity on whole texts -> copies joined back.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,36 +90,83 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sign(bands: int, rows: int, k: int):
+#: Buckets of the shingle counts, a byte each.
+BUCKETS = 256
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """How many of the distinct shingles fall in each bucket; 255 stands for that many or more."""
+    return np.minimum(np.bincount((hashes >> np.uint64(32)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _sign(bands: int, rows: int, k: int, counted: bool):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
-                sets = [np.unique(char_shingles(t, k)) for t in part["folded"]]
+                both = [np.unique(char_shingles(t, k), return_counts=True) for t in part["folded"]]
+                sets = [h for h, _ in both]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 elements = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
+                weights = np.concatenate([n for _, n in both]).astype(float) if counted else np.ones(len(elements))
                 owner = np.repeat(np.arange(len(sets)), sizes)
-                sig = signatures(elements, np.ones(len(elements)), owner, len(sets), bands * rows)
+                sig = signatures(elements, weights, owner, len(sets), bands * rows)
                 keys = band_keys(sig, bands, rows)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n_pieces": sizes.astype(np.int32), "keys": list(keys)})
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n_pieces": sizes.astype(np.int32), "sketch": [_sketch(x) for x in sets], "keys": list(keys)})
 
     return run
 
 
-def _exact(k: int, threshold: float):
+def _may_reach(threshold: float):
+    """Keeps the pairs whose counts allow the threshold: shared shingles are at most the smaller count of each bucket.
+
+    A bucket at 255 may hold any number, so it counts as all of the smaller text's shingles.
+    """
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, frozenset] = {}
+        for pdf in it:
+            if not len(pdf):
+                continue
+            a = np.frombuffer(b"".join(pdf["sketch_a"]), np.uint8).reshape(-1, BUCKETS)
+            b = np.frombuffer(b"".join(pdf["sketch_b"]), np.uint8).reshape(-1, BUCKETS)
+            na, nb = pdf["n_a"].to_numpy(np.int64), pdf["n_b"].to_numpy(np.int64)
+            low = np.minimum(a, b)
+            most = np.where((low == 255).any(axis=1), np.minimum(na, nb), low.sum(axis=1, dtype=np.int64))
+            # shared / (na + nb - shared) >= threshold
+            yield pdf.loc[most * (1 + threshold) >= threshold * (na + nb) - 1e-9, ["rep_a", "rep_b"]]
+
+    return run
+
+
+def probability_jaccard(x: dict, y: dict) -> float:
+    """The share of equal minima of exponential arrivals at rates x and y: for equal rates |both| / |either|."""
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def _probability(a: Counter, b: Counter) -> float:
+    """probability_jaccard of two counts, vectorised: pieces of equal counts in both texts share a term."""
+    keys = list(a.keys() | b.keys())
+    x, y = np.array([a[k] for k in keys], float), np.array([b[k] for k in keys], float)
+    total, seen = 0.0, Counter(zip(x[(x > 0) & (y > 0)], y[(x > 0) & (y > 0)]))
+    for (xi, yi), n in seen.items():
+        total += n / np.maximum(x / xi, y / yi).sum()
+    return float(total)
+
+
+def _exact(k: int, threshold: float, counted: bool):
+    def shape(text: str):
+        return Counter([text[i : i + k] for i in range(len(text) - k + 1)] if len(text) > k else [text] if text else []) if counted else frozenset(pieces(text, k))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, sa = None, None
         for pdf in it:
             out = []
             for a, b, ta, tb in pdf[["rep_a", "rep_b", "text_a", "text_b"]].itertuples(index=False):
-                sa = kept.get(ta)
-                if sa is None:
-                    if len(kept) > 512:
-                        kept.clear()
-                    sa = kept[ta] = frozenset(pieces(ta, k))
-                sb = frozenset(pieces(tb, k))
-                both = len(sa & sb)
-                sim = both / (len(sa) + len(sb) - both)
+                if a != last:  # rows of one text come together
+                    last, sa = a, shape(ta)
+                sb = shape(tb)
+                both = 0 if counted else len(sa & sb)
+                sim = _probability(sa, sb) if counted else both / (len(sa) + len(sb) - both)
                 if sim >= threshold:
                     out.append((a, b, sim))
             yield pd.DataFrame(out, columns=["rep_a", "rep_b", "similarity"]).astype({"rep_a": "int64", "rep_b": "int64", "similarity": "float64"})
@@ -138,13 +189,15 @@ def folded_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return base.mapInPandas(_fold, "id long, folded string").where("folded <> ''").select("id", F.sha2("folded", 256).alias("digest"), "folded")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, cut=None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, cut=None, counted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Groups of exact copies and links between their representatives.
 
     Returns members (id, rep) with one row for each text, and links (rep_a < rep_b, similarity) for all
     pairs of different folded texts at or above the threshold that share a band. Texts shorter than k are one piece.
+    counted weights each piece by its number of occurrences; similarity is then the probability Jaccard similarity.
     """
     from harborlight.session import cut as default_cut
+    from harborlight.session import drop_cut
 
     cut = cut or default_cut
     texts = cut(folded_texts(df, key, text))
@@ -152,27 +205,40 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
     # one row a digest on one side, so a group of copies of any size is split over tasks on the other
     members = cut(texts.select("id", "digest").join(first, "digest").select("id", "rep").distinct())
     distinct = cut(texts.join(first.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select(F.col("id").alias("rep"), "folded").distinct())
-    signed = cut(distinct.mapInPandas(_sign(bands, rows, k), "rep long, n_pieces int, keys array<long>"))
+    drop_cut(texts)
+    signed = cut(distinct.mapInPandas(_sign(bands, rows, k, counted), "rep long, n_pieces int, sketch binary, keys array<long>"))
     band = signed.select("rep", "n_pieces", F.explode("keys").alias("key"))
     a, b = (band.select(F.col("rep").alias(f"rep_{s}"), F.col("n_pieces").alias(f"n_{s}"), "key") for s in "ab")
     pairs = a.join(b, "key").where("rep_a < rep_b")
-    # |A and B| <= min(|A|, |B|), so a pair whose sizes are further apart than the threshold can't reach it
-    pairs = pairs.where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")).select("rep_a", "rep_b").distinct()
+    if not counted:
+        # |A and B| <= min(|A|, |B|), so a pair whose sizes are further apart than the threshold can't reach it
+        pairs = pairs.where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
+        pairs = pairs.select("rep_a", "rep_b").distinct()
+        sa, sb = (signed.select(F.col("rep").alias(f"rep_{s}"), F.col("n_pieces").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
+        near = pairs.join(sb, "rep_b").join(sa, "rep_a").mapInPandas(_may_reach(threshold), "rep_a long, rep_b long")
+    else:
+        near = pairs.select("rep_a", "rep_b").distinct()
     ta = distinct.select(F.col("rep").alias("rep_a"), F.col("folded").alias("text_a"))
     tb = distinct.select(F.col("rep").alias("rep_b"), F.col("folded").alias("text_b"))
-    both = pairs.join(ta, "rep_a").join(tb, "rep_b")
-    links = both.mapInPandas(_exact(k, threshold), "rep_a long, rep_b long, similarity double")
+    both = near.join(tb, "rep_b").join(ta, "rep_a")
+    links = both.mapInPandas(_exact(k, threshold, counted), "rep_a long, rep_b long, similarity double")
     return members, links
 
 
-def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(complaint_id_a < complaint_id_b): the links with their copies, and the pairs of copies."""
-    m = lambda s: members.select(F.col("id").alias(f"id_{s}"), F.col("rep").alias(f"rep_{s}"))
+def all_pairs(members: DataFrame, links: DataFrame, salts: int = 16) -> DataFrame:
+    """(complaint_id_a < complaint_id_b): the links with their copies, and the pairs of copies.
+
+    One side of each join is salted and the other repeated for each salt, so the copies of one text are many tasks. The output
+    grows with the square of a group of copies; classes() has the same in one row a text.
+    """
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
     copied = members.groupBy("rep").count().where("count > 1").select("rep")
     within = members.join(copied, "rep", "left_semi")
-    w = lambda s: within.select(F.col("id").alias(f"id_{s}"), "rep")
-    same = w("a").join(w("b"), "rep").where("id_a < id_b").select("id_a", "id_b")
-    across = links.join(m("a"), "rep_a").join(m("b"), "rep_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    same = within.select(F.col("id").alias("id_a"), "rep", salt("id").alias("salt")).join(within.select(F.col("id").alias("id_b"), "rep", every), ["rep", "salt"])
+    same = same.where("id_a < id_b").select("id_a", "id_b")
+    ends = {s: members.select(F.col("id").alias(f"id_{s}"), F.col("rep").alias(f"rep_{s}")) for s in "ab"}
+    across = links.join(ends["a"], "rep_a").join(ends["b"], "rep_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     return across.unionByName(same).select(F.col("id_a").alias("complaint_id_a"), F.col("id_b").alias("complaint_id_b"))
 
 

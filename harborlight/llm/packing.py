@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight.session import cut
@@ -131,3 +131,20 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return by.agg(
         F.sum("pieces").alias("n_pieces"), F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_containers"), (F.sum("n") / (F.count(F.lit(1)) * capacity)).alias("fill")
     )
+
+
+def verified(packed: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
+    """(key, in_order, fits, whole) for each packed key, computed from the packing alone.
+
+    in_order: its pieces follow each other from token 0 without gap. fits: in every container it is in, pieces lie side by side from
+    offset 0 on, to at most the capacity. whole: it is in one piece unless longer than a container. Repeated keys count as one document, not in order.
+    """
+    by = Window.partitionBy(key).orderBy("token_start", "piece")
+    inside = Window.partitionBy("container_id").orderBy("container_offset", "n_tokens")
+    gap = F.coalesce(F.lag(F.col("token_start") + F.col("n_tokens")).over(by), F.lit(0)) != F.col("token_start")
+    off = F.coalesce(F.lag(F.col("container_offset") + F.col("n_tokens")).over(inside), F.lit(0)) != F.col("container_offset")
+    over = (F.col("container_offset") + F.col("n_tokens")) > capacity
+    rows = packed.withColumn("gap", gap).withColumn("bad", off | over)
+    boxes = rows.groupBy("container_id").agg(F.max("bad").alias("bad_box"))
+    g = rows.join(boxes, "container_id").groupBy(key).agg(F.max("gap").alias("g"), F.max("bad_box").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
+    return g.select(key, (~F.col("g")).alias("in_order"), (~F.col("b")).alias("fits"), (F.col("n") == F.ceil(F.col("t") / capacity)).alias("whole"))

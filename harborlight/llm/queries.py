@@ -41,6 +41,12 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes(members, cut(links)).withColumnRenamed("id", "complaint_id")
 
 
+def p4_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """As p4_classes, with pieces weighted by their number of occurrences: probability Jaccard similarity."""
+    members, links = neardup.near_duplicates(read_table(spark, d, "narratives"), "complaint_id", "text_redacted", counted=True)
+    return neardup.classes(members, cut(links)).withColumnRenamed("id", "complaint_id")
+
+
 #: The key of the surrogates; a deployment passes its own.
 SECRET = b"harborlight demonstration key"
 
@@ -85,6 +91,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d))
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per document with text: whether its pieces follow each other from 0 on, whether no container they lie in is overfull or has two pieces in one place, and whether only a document longer than a container is in pieces."""
+    packed = cut(p8_containers(spark, d))
+    return packing.verified(packed, "doc_id")
+
+
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text")
 
@@ -111,7 +123,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(p10_scores(spark, d), "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_consistent_narratives, p4_found, p4_classes, p5_found, p5_texts, p6_found, p6_records, p6_clusters, p7_found, p9_found, p9_passages, p9_items, p8_containers, p8_fill, p10_found, p10_scores, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_consistent_narratives, p4_found, p4_classes, p4_weighted, p5_found, p5_texts, p6_found, p6_records, p6_clusters, p7_found, p9_found, p9_passages, p9_items, p8_containers, p8_fill, p8_checked, p10_found, p10_scores, p10_sources)}
 
 
 def queries() -> dict:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +22,67 @@ def unique_prefix(names: DataFrame, canonical: DataFrame) -> DataFrame:
     return n.select("name").join(found, "name", "left")
 
 
-def merge_candidates(canonical: DataFrame, most: float = 0.2) -> DataFrame:
-    """canonical (company_id, normal) -> (id_a < id_b, distance): names that share a word and differ in at most `most` of their letters.
+def indel_similarity(a: str, b: str) -> float:
+    """100 (|a| + |b| - indel distance) / (|a| + |b|); two empty strings are equal."""
+    if not a and not b:
+        return 100.0
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    s = full
+    for c in b:
+        u = s & masks.get(c, 0)
+        s = ((s + u) | (s - u)) & full
+    return 200 * (len(a) - s.bit_count()) / (len(a) + len(b))
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """The best of three comparisons: shared words alone with either side, and both sides, shared words first. A side whose words are all shared is 100; no words give 0."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    if both and (not x - y or not y - x):
+        return 100.0
+    left, right = (" ".join([w for w in (both, *sorted(d)) if w]) for d in (x - y, y - x))
+    sides = [indel_similarity(left, right)]
+    return max(sides + ([indel_similarity(both, left), indel_similarity(both, right)] if both else []))
+
+
+def merge_review(companies: DataFrame, top: int = 300, least: float = 88) -> DataFrame:
+    """companies (company_id, name, n_complaints) -> (score, id_a, name_a, n_a, id_b, name_b, n_b) of the `top` largest, pairs whose token-set ratio is `least` or more.
+
+    For a person to decide, so the number of companies is a parameter; ties are by id. All pairs of those are compared: the list is a stated query set of `top` rows,
+    which every task holds, against itself. a is the larger company. Null names are left out.
+    """
+    named = companies.where("name is not null and company_id is not null").select("company_id", "name", "n_complaints")
+    largest = named.orderBy(F.desc("n_complaints"), "company_id").limit(top)
+    held = [tuple(r) for r in largest.collect()]
+    rows = companies.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(held)], f"i int, {named.schema.simpleString()[7:-1].replace(':', ' ')}").repartition(8, "i")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for i, a, name, n in pdf.itertuples(index=False):
+                for b, other, m in held[i + 1 :]:
+                    score = token_set_ratio(name, other)
+                    if score >= least:
+                        out.append((int(score), a, name, n, b, other, m))
+            yield pd.DataFrame(out, columns=["score", "id_a", "name_a", "n_a", "id_b", "name_b", "n_b"])
+
+    return rows.mapInPandas(run, "score int, id_a string, name_a string, n_a long, id_b string, name_b string, n_b long")
+
+
+def blinded_worklist(candidates: DataFrame, others: DataFrame, key: str, seed: str, decoys: int) -> DataFrame:
+    """(position, key): all candidates, and `decoys` of the others, in the order of a seeded hash, with nothing that tells which is which.
 
-    For human review. Words of more than one name in a hundred (at least 20) block nothing.
+    Decoys are drawn by another hash from things of the same kind, so that their keys don't give them away either. A key that is both is a candidate.
     """
-    c = canonical.where("normal is not null").select("company_id", "normal").distinct()
-    total = c.count()
-    words = c.select("company_id", "normal", F.explode(F.array_distinct(F.split("normal", " "))).alias("w"))
-    rare = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max(20, total // 100)).select("w")
-    kept = words.join(rare, "w")
-    a, b = (kept.select("w", F.col("company_id").alias(f"id_{s}"), F.col("normal").alias(f"n_{s}")) for s in "ab")
-    pairs = a.join(b, "w").where("id_a < id_b").select("id_a", "id_b", "n_a", "n_b").distinct()
-    scored = pairs.withColumn("distance", F.levenshtein("n_a", "n_b") / F.greatest(F.length("n_a"), F.length("n_b")))
-    return scored.where(F.col("distance") <= most).select("id_a", "id_b", "distance")
-
-
-def blinded_worklist(candidates: DataFrame, decoys: DataFrame, key: str, seed: str) -> DataFrame:
-    """(position, key): candidates and decoys in the order of a seeded hash, with nothing that tells which is which."""
-    both = candidates.select(key).unionByName(decoys.select(key)).distinct()
-    order = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
-    return both.select(order.alias("position"), key).orderBy("position", key)
+    draw = F.sha2(F.concat(F.lit(f"{seed}decoy:"), F.col(key).cast("string")), 256)
+    drawn = others.select(key).distinct().join(candidates.select(key), key, "left_anti").orderBy(draw, key).limit(decoys)
+    both = candidates.select(key).distinct().unionByName(drawn)
+    return both.select(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256).alias("position"), key).orderBy("position", key)
 
 
 def latest_run(runs: DataFrame, stage: str, params: dict[str, str]) -> DataFrame:

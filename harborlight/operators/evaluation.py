@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborlight.operators import ranges
+
 
 def asof_cutoff(actions: DataFrame, cutoffs: list[str], day: str) -> DataFrame:
     """actions plus cutoff: the latest of the cutoffs strictly before the day; null if there is none. No join: cutoffs are a fixed list."""
@@ -62,10 +64,10 @@ def precision_recall(scored: DataFrame) -> DataFrame:
 
 
 def shuffled(groups: DataFrame, family: str, key: str, value: str, seed: str) -> DataFrame:
-    """groups with their values permuted within the family: the negative control. Positions are joined, not sampled."""
-    a = groups.withColumn("i", F.row_number().over(Window.partitionBy(family).orderBy(key)))
+    """groups with their values permuted within the family: the negative control. Positions in two orders are joined, not sampled; a family of any size is numbered by ranges."""
+    a = ranges.ranked(groups, [family], [key], "i").drop("__range")
     b = groups.select(family, F.col(value).alias(f"shuffled_{value}"), F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256).alias("__h"), F.col(key).alias("__k"))
-    b = b.withColumn("i", F.row_number().over(Window.partitionBy(family).orderBy("__h", "__k"))).drop("__h", "__k")
+    b = ranges.ranked(b, [family], ["__h", "__k"], "i").select(family, "i", f"shuffled_{value}")
     return a.join(b, [family, "i"]).drop("i")
 
 

@@ -132,6 +132,44 @@ def novelty(members: DataFrame, space: DataFrame) -> DataFrame:
     return j.select("cluster", share.alias("modal_share"), ent.alias("entropy"), (0.5 * (1 - share) + 0.5 * ent).alias("novelty"))
 
 
+def is_novel(scored: DataFrame, threshold: float = 0.60, coherence: float = 0.45, persistence: float = 0.05) -> DataFrame:
+    """scored (novelty, coherence, persistence) plus is_novel: novel, coherent and persistent at once; a null measure fails."""
+    good = (F.col("novelty") >= threshold) & (F.col("coherence") >= coherence) & (F.col("persistence") >= persistence)
+    return scored.withColumn("is_novel", F.coalesce(good, F.lit(False)))
+
+
+def dominant_issue(members: DataFrame) -> DataFrame:
+    """(cluster, issue): the most frequent issue of each cluster, ties to the smaller; clusters without any issue are left out."""
+    n = members.where("issue is not null").groupBy("cluster", "issue").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("cluster").agg(F.min_by("issue", F.struct(-F.col("n"), "issue")).alias("issue"))
+
+
+def ablation(members: DataFrame, n_issues: int = 10) -> DataFrame:
+    """members (cluster, family, label, issue) -> (issue, n_positive, auc): novelty as a detector of clusters whose issue was hidden.
+
+    The n_issues issues that dominate most clusters (ties to the smaller) are hidden one at a time: their members stay in the cluster and lose
+    their label. AUC of the novelty so scored against "dominated by the hidden issue"; issues without both kinds of cluster have none. One plan for all of them:
+    label counts are taken once, and each hidden issue only leaves its own rows out of them. The label space is that of all labels.
+    """
+    truth = dominant_issue(members)
+    hidden = truth.groupBy("issue").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "issue").limit(n_issues).select(F.col("issue").alias("hidden"))
+    names = F.array(*(F.lit(r[0]) for r in hidden.collect()))  # at most n_issues
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    space = members.where("label is not null").agg(F.count_distinct("label")).first()[0]
+    counts = members.where("label is not null").groupBy("cluster", "label", "issue").agg(F.count(F.lit(1)).alias("n"))
+    each = counts.select("*", F.explode(names).alias("hidden")).where("not (issue <=> hidden)").groupBy("hidden", "cluster", "label").agg(F.sum("n").alias("n"))
+    h = each.groupBy("hidden", "cluster").agg(F.max("n").alias("top"), F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("nln"))
+    every = sizes.select("*", F.explode(names).alias("hidden")).join(h, ["hidden", "cluster"], "left").join(truth, "cluster", "left")
+    ent = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log("t") - F.col("nln") / F.col("t")) / F.log(F.lit(float(max(space, 2)))))
+    score = F.when(F.col("t").isNull(), 1.0).otherwise(0.5 * (1 - F.col("top") / F.col("size")) + 0.5 * ent)
+    scored = every.select("hidden", F.round(score, 9).alias("score"), F.coalesce(F.col("issue") == F.col("hidden"), F.lit(False)).cast("long").alias("y"))
+    w = Window.partitionBy("hidden").orderBy("score")
+    by = scored.groupBy("hidden", "score").agg(F.count(F.lit(1)).alias("m"), F.sum("y").alias("pos"))  # a row a distinct score
+    ranks = by.withColumn("rank", F.sum("m").over(w) - (F.col("m") - 1) / 2)
+    t = ranks.groupBy("hidden").agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("m") - F.col("pos")).alias("q")).where("p > 0 and q > 0")
+    return t.select(F.col("hidden").alias("issue"), F.col("p").alias("n_positive"), ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
+
+
 def auc(scored: DataFrame) -> DataFrame:
     """scored (score, label 0/1) -> one row (auc): the rank-sum statistic with average ranks; null if a class is empty.
 

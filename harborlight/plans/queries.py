@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harborlight.functions import taxonomy
 from harborlight.functions import text as T
 from harborlight.operators import changepoint, curation, dedup, evaluation, retrieval, signals, skew, vectors
 from harborlight.session import cut, ship_package
 from harborlight.session import read_table as table
 
 R = 6
+RELATED = 0.0  # the test vectors are spread evenly; real centroids are related from vectors.RELATED on
 CUTOFFS = [f"{y}-01-01" for y in range(1996, 2002)]
-# A small crosswalk of product labels, '*' standing for any sub-product.
-CROSSWALK = [
-    ("Consumer file bureaus", "*", "file"), ("Collecting of debts", "*", "collect"), ("Collecting of debts", "Hospital arrears", "collect_medical"), ("Home loans", "*", "home"),
-]
-
 
 def r6(c):
     return F.round(c, R)
@@ -25,22 +22,23 @@ def r6(c):
 # --- a few keys holding most records
 
 def p3_company_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Per company_id: sums of n and denom, months, and what its join with company_alias would sum to."""
-    ts = skew.once(table(spark, d, "cluster_timeseries"))
-    months = {"months": F.col("period_month")}
-    own = skew.key_states(ts, ["company_id"], ["n", "denom"], months)
-    joined = skew.eager_join(ts, table(spark, d, "company_alias"), ["company_id"], ["n", "denom"], [])
-    j = own.join(joined, "company_id", "left")
-    return j.select("company_id", F.col("rows").alias("n_rows"), "sum_n", "sum_denom", F.col("n_months").alias("months"), F.coalesce("join_rows", F.lit(0)).alias("alias_rows"), F.coalesce("left_n", F.lit(0)).alias("alias_n"))
+    """Per company_id: sums of n and denom, months, and what its join with company_alias would sum to. The states of each table are built once."""
+    own = skew.key_states_once(table(spark, d, "cluster_timeseries"), ["company_id"], ["n", "denom"], {"months": F.col("period_month")})
+    alias = skew.key_states(table(spark, d, "company_alias").where("company_id is not null"), ["company_id"], [])
+    # the states stand for their rows in the join; a company without an alias keeps its own totals
+    j = own.join(alias.select(F.col("company_id").alias("__c"), F.col("rows").alias("__rb")), F.col("company_id") == F.col("__c"), "left")
+    times = F.coalesce("__rb", F.lit(0))
+    return j.select("company_id", F.col("rows").alias("n_rows"), "sum_n", "sum_denom", F.col("n_months").alias("months"), (F.col("rows") * times).alias("alias_rows"), (F.col("sum_n") * times).alias("alias_n"))
 
 
 def p3_product_months(spark: SparkSession, d: str) -> DataFrame:
-    """Per product and month: complaints, and those with a narrative in narratives."""
-    raw = skew.once(table(spark, d, "complaints_raw").select("complaint_id", "product", F.trunc("date_received", "month").alias("month")))
-    told = table(spark, d, "narratives").select("complaint_id", F.lit(1).alias("told"))
-    # complaint_id is unique on both sides by now, so the join is by an even key; products meet only as states
-    states = raw.join(told, "complaint_id", "left").groupBy("product", "month").agg(F.count(F.lit(1)).alias("complaints"), F.count("told").alias("narratives"))
-    return states
+    """Per product and month: complaints, and those with a narrative in narratives: both inputs by complaint_id first, joined as states, rolled up."""
+    raw = table(spark, d, "complaints_raw").select("complaint_id", "product", F.trunc("date_received", "month").alias("month"))
+    # a complaint delivered again is one state, standing for one row
+    left = skew.key_states(raw, ["complaint_id", "product", "month"], []).withColumn("rows", F.lit(1).cast("long"))
+    right = skew.key_states(table(spark, d, "narratives"), ["complaint_id"], [])
+    joined = skew.join_states(left, right, ["complaint_id"], [], [], carry=["product", "month"], how="left")
+    return skew.roll_up(joined, ["product", "month"], ["join_rows", "matched_rows"]).select("product", "month", F.col("join_rows").alias("complaints"), F.col("matched_rows").alias("narratives"))
 
 
 def p3_products(spark: SparkSession, d: str) -> DataFrame:
@@ -70,16 +68,13 @@ def company_sizes(spark, d):
 
 
 def crosswalk_family(spark, d):
-    rules = spark.createDataFrame(CROSSWALK, "product string, sub_product string, family string")
-    exact = rules.where("sub_product <> '*'").withColumnRenamed("family", "fe")
-    any_ = rules.where("sub_product = '*'").select("product", F.col("family").alias("fa"))
     c = table(spark, d, "complaints_raw").select("complaint_id", "product", "sub_product").distinct()
-    return c.join(exact, ["product", "sub_product"], "left").join(any_, "product", "left").select("complaint_id", F.coalesce("fe", "fa").alias("family"))
+    return taxonomy.with_family(c).select("complaint_id", "product_std", F.col("product_family").alias("family"))
 
 
 def uncovered_labels(spark, d):
-    c = crosswalk_family(spark, d).where("family is null").join(table(spark, d, "complaints_raw").select("complaint_id", "product", "sub_product").distinct(), "complaint_id")
-    return c.groupBy("product", "sub_product").agg(F.count(F.lit(1)).alias("n"))
+    c = taxonomy.with_family(table(spark, d, "complaints_raw").select("complaint_id", "product", "sub_product").distinct())
+    return c.where("product_family is null").groupBy("product", "sub_product").agg(F.count(F.lit(1)).alias("n"))
 
 
 def text_normalize_hash(spark, d):
@@ -88,10 +83,10 @@ def text_normalize_hash(spark, d):
 
 
 def pii_redact_counts(spark, d):
-    t = F.col("text_redacted")
-    out, counts = T.redact(t)
-    rows = table(spark, d, "narratives").select(out.alias("clean"), *(v.alias(k) for k, v in counts.items() if k != "card"))
-    return rows.agg(*(F.sum(k).alias(f"n_{k}") for k in counts if k != "card"))
+    """Matches by pattern over all narratives, and how many texts changed."""
+    rows = T.redacted(table(spark, d, "narratives").select("text_redacted"), "text_redacted")
+    names = [f"n_{name}" for name, _, _ in T.PII]
+    return rows.agg(*(F.sum(n).alias(n) for n in names), F.count_if(F.col("clean") != F.col("text_redacted")).alias("n_changed"))
 
 
 def markdown_strip(spark, d):
@@ -185,7 +180,13 @@ def family_baseline_hhi(spark, d):
 def campaign_flags(spark, d):
     m = _members(spark, d)
     base = dedup.concentration(m, "family", "state", "base_state").join(dedup.concentration(m, "family", "company", "base_company"), "family")
-    return dedup.campaign_flags(dedup.campaign_features(m), base).select("group_id", "n_signals", "flagged")
+    return dedup.campaign_flags(dedup.campaign_features(m), base).select("group_id", "family", "n_complaints", "n_signals", "flagged")
+
+
+def boilerplate_share(spark, d):
+    """Share of all narratives with a statutory or legal marker, by language."""
+    n = table(spark, d, "narratives").where("text_redacted is not null")
+    return n.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("text_redacted").rlike(T.BOILERPLATE).cast("double"))).alias("share"))
 
 
 # --- signals
@@ -257,39 +258,91 @@ def support_grouping_sets(spark, d):
     return signals.support(_expanded(spark, d))
 
 
-def _every_dense(spark, d):
-    return signals.densify(signals.panel(_expanded(spark, d)), "1995-01-01", "2001-11-01")
-
-
-def _dense(spark, d):
-    p = signals.panel(_expanded(spark, d)).where(F.col("company_id") == signals.ALL)
-    return signals.densify(p, "1995-01-01", "2001-11-01")
+def _panel(spark, d):
+    """The panel, written once, and its first and last month."""
+    p = cut(signals.panel(_expanded(spark, d)))
+    return p, signals.month_axis(p)
 
 
 def densified_series(spark, d):
-    return _dense(spark, d)
+    p, (lo, hi) = _panel(spark, d)
+    return signals.densify(p, lo, hi).withColumn("share", r6("share"))
 
 
 def trailing_baseline(spark, d):
-    return signals.trailing(_dense(spark, d)).select("cluster_id", "company_id", "period_month", "n", r6("base_mean").alias("base_mean"), r6("base_sd").alias("base_sd"))
+    p, (lo, hi) = _panel(spark, d)
+    return signals.trailing(signals.densify(p, lo, hi)).select("cluster_id", "company_id", "period_month", r6("share").alias("share"), r6("base_mean").alias("base_mean"), r6("base_sd").alias("base_sd"))
+
+
+def ewma_alarms(spark, d):
+    """First upward alarms of the smoothed share, over every cluster and company series with enough groups."""
+    p, (lo, hi) = _panel(spark, d)
+    found = changepoint.detect(signals.series_arrays(p, lo, hi), lo, methods=("ewma",))
+    return found.select("cluster_id", "company_id", "period_month", r6("statistic").alias("statistic"))
 
 
 def change_alarms(spark, d):
-    return changepoint.detect(_every_dense(spark, d)).withColumn("statistic", r6("statistic"))
+    p, (lo, hi) = _panel(spark, d)
+    return changepoint.detect(signals.series_arrays(p, lo, hi), lo).withColumn("statistic", r6("statistic"))
 
 
 def _signals(spark, d):
-    e = _expanded(spark, d)
-    tests = signals.bh(_shrunk(spark, d))
-    sup = signals.support(e).select("cluster_id", "company_id", "groups")
-    eb = tests.select("cluster_id", "company_id", F.lit("ebgm").alias("method"), F.col("ebgm").alias("statistic"), "q").join(sup, ["cluster_id", "company_id"])
-    return eb.select("cluster_id", "company_id", "method", "statistic", "q", "groups")
+    """All signal rows: scored pairs and change points of every series, with support."""
+    e = cut(_expanded(spark, d))
+    p = cut(signals.panel(e))
+    lo, hi = signals.month_axis(p)
+    tests = signals.ror(signals.prr(signals.testable(signals.contingency(e))))
+    cells = signals.with_expected(signals.bh(tests))
+    scored = signals.eb05(signals.shrink(cells, signals.gamma_prior(cells)))
+    changes = changepoint.detect(signals.series_arrays(p, lo, hi), lo)
+    as_of = str(e.agg(F.max("day")).first()[0])
+    return signals.signal_rows(scored, changes, signals.support(e), hi, as_of)
+
+
+def signal_rows(spark, d):
+    return _signals(spark, d).select("cluster_id", "company_id", "period_month", "method", *(r6(F.col(c)).alias(c) for c in ("statistic", "ci_low", "ci_high", "p", "q")), "n_supporting", "n_supporting_groups", "as_of")
+
+
+def signal_support(spark, d):
+    """What signal_rows says of the scored pairs but EB05, which SQL has no quantile for."""
+    eb = _signals(spark, d).where("method = 'ebgm'")
+    return eb.select("cluster_id", "company_id", "period_month", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), r6("p").alias("p"), r6("q").alias("q"), "n_supporting", "n_supporting_groups", "as_of")
+
+
+def _coherent(spark, d):
+    """Coherence of each cluster: that of the vectors it is made of; part types and vectors are paired by a hash of the type."""
+    coherence = vectors.coherence(_points(spark, d), vectors.centroids(_points(spark, d))).select(F.col("cluster").alias("label"), "coherence")
+    clusters = _expanded(spark, d).select("cluster_id").where("cluster_id is not null").distinct()
+    return clusters.withColumn("label", F.length("cluster_id") % 10).join(coherence, "label").select("cluster_id", "coherence")
+
+
+def _scopes(spark, d):
+    """Alert scopes and the clusters' coherence; the test vectors are random, so the floor is their clusters' median coherence, not signals.MIN_COHERENCE."""
+    c = cut(_coherent(spark, d))
+    floor = c.agg(F.percentile("coherence", 0.5)).first()[0] or 0.0
+    return signals.alert_scopes(_signals(spark, d), c, floor), c
 
 
 def alert_scopes(spark, d):
-    s = _signals(spark, d)
-    clusters = s.select("cluster_id").distinct().withColumn("coherence", F.lit(1.0))
-    return signals.alert_scopes(s, clusters).select("cluster_id", "company_id", r6("eb05").alias("statistic"), r6("q").alias("q"), "groups")
+    a = signals.in_order(_scopes(spark, d)[0])
+    return a.select("cluster_id", "company_id", r6("eb05").alias("eb05"), r6("q").alias("q"), "changed", "change_month", "n_supporting", "n_groups", r6("coherence").alias("coherence"))
+
+
+def alert_tracks(spark, d):
+    """Alerts in novel and known clusters; a part type counts as novel here if its cluster is among the more coherent quarter."""
+    scopes, c = _scopes(spark, d)
+    top = c.agg(F.percentile("coherence", 0.75)).first()[0]
+    return signals.alert_tracks(scopes, c.withColumn("is_novel", F.col("coherence") >= F.lit(top)))
+
+
+def false_alert_rate(spark, d):
+    """The negative control: clusters permuted among the groups of a family, tested like the real ones."""
+    e = cut(_expanded(spark, d))
+    groups = e.where("cluster_id is not null").select("cluster_family", "group_id", "cluster_id").distinct()
+    control = evaluation.shuffled(groups, "cluster_family", "group_id", "cluster_id", "control").select("group_id", F.col("shuffled_cluster_id").alias("cluster_id"))
+    e2 = cut(e.drop("cluster_id").join(control, "group_id", "left"))
+    tests = signals.bh(signals.ror(signals.testable(signals.contingency(e2))))
+    return signals.false_alert_rate(tests, signals.support(e2)).withColumn("rate", r6("rate"))
 
 
 def shuffle_control(spark, d):
@@ -355,7 +408,7 @@ def coherence_medoid(spark, d):
 def related_clusters(spark, d):
     c = vectors.centroids(_points(spark, d))
     fam = c.select("cluster", F.concat(F.lit("f"), (F.col("cluster") % 3).cast("string")).alias("family"))
-    return vectors.related(c, fam, -1.0).select("cluster_a", "cluster_b", r6("similarity").alias("similarity"))
+    return vectors.related(c, fam, RELATED).select("cluster_a", "cluster_b", r6("similarity").alias("similarity"))
 
 
 def cluster_agreement(spark, d):
@@ -365,14 +418,26 @@ def cluster_agreement(spark, d):
 
 
 def novelty_scores(spark, d):
-    c = table(spark, d, "complaints_raw").select("complaint_id", F.coalesce("state", F.lit("-")).alias("cluster"), F.lit("all").alias("family"), "issue", "sub_issue").distinct()
-    label = F.when(F.col("issue").isNotNull(), F.concat(F.col("issue"), F.lit(" | "), F.coalesce("sub_issue", F.lit("∅"))))
-    m = c.withColumn("label", label)
+    m = _novelty_members(spark, d)
     space = m.where("label is not null").groupBy("family").agg(F.count_distinct("label").alias("n_labels"))
     return vectors.novelty(m, space).select("cluster", *(r6(F.col(x)).alias(x) for x in ("modal_share", "entropy", "novelty")))
 
 
+def _novelty_members(spark, d):
+    c = table(spark, d, "complaints_raw").select("complaint_id", F.coalesce("state", F.lit("-")).alias("cluster"), F.lit("all").alias("family"), "issue", "sub_issue").distinct()
+    label = F.when(F.col("issue").isNotNull(), F.concat(F.col("issue"), F.lit(" | "), F.coalesce("sub_issue", F.lit("∅"))))
+    return c.withColumn("label", label)
+
+
 def ablation_auc(spark, d):
+    """Can novelty tell the clusters that a hidden issue dominates? One issue hidden at a time, over clusters by product and state."""
+    c = table(spark, d, "complaints_raw").select("complaint_id", F.concat_ws("|", F.coalesce("product", F.lit("-")), F.coalesce("state", F.lit("-"))).alias("cluster"), F.lit("all").alias("family"), "issue", "sub_issue").distinct()
+    label = F.when(F.col("issue").isNotNull(), F.concat(F.col("issue"), F.lit(" | "), F.coalesce("sub_issue", F.lit("∅"))))
+    return vectors.ablation(c.withColumn("label", label), 10).select("issue", "n_positive", r6("auc").alias("auc"))
+
+
+def length_auc(spark, d):
+    """How well a document's length alone tells the toxic ones."""
     docs = table(spark, d, "documents").join(table(spark, d, "doc_labels"), "doc_id")
     return vectors.auc(docs.select(F.col("n_chars").alias("score"), F.col("toxic").cast("long").alias("label"))).select(r6("auc").alias("auc"))
 
@@ -474,14 +539,18 @@ def prefix_lookup(spark, d):
 
 
 def company_merge_review(spark, d):
-    m = curation.merge_candidates(company_canonical(spark, d).select("company_id", "normal"))
-    return m.groupBy("id_a", "id_b").agg(r6(F.min("distance")).alias("distance"))
+    """Names to merge, for a person to decide: token-set ratio of 88 and more among the 300 companies with most complaints."""
+    named = company_canonical(spark, d).select(F.col("alias_raw").alias("company_raw"), "company_id", "normal")
+    n = table(spark, d, "complaints_raw").where("company_raw is not null").groupBy("company_raw").agg(F.count_distinct("complaint_id").alias("n"))
+    sizes = n.join(named, "company_raw").groupBy("company_id").agg(F.sum("n").alias("n_complaints"), F.min("normal").alias("name"))
+    return curation.merge_review(sizes)
 
 
 def blinded_worklist(spark, d):
-    c = table(spark, d, "cluster_timeseries").select("cluster_id").distinct()
-    decoys = table(spark, d, "embeddings").select(F.concat(F.lit("decoy-"), F.col("label").cast("string")).alias("cluster_id")).distinct()
-    return curation.blinded_worklist(c, decoys, "cluster_id", "review:")
+    """The larger clusters as candidates among ten of the others as decoys."""
+    c = table(spark, d, "cluster_timeseries").where("company_id = '__ALL__'").distinct().groupBy("cluster_id").agg(F.sum("n").alias("n"))
+    cut_at = c.agg(F.percentile("n", 0.5)).first()[0] or 0
+    return curation.blinded_worklist(c.where(F.col("n") > cut_at), c.where(F.col("n") <= cut_at), "cluster_id", "review:", 10)
 
 
 def star_merge_audit(spark, d):
@@ -494,7 +563,7 @@ QUERIES = (
     p3_company_totals, p3_product_months, p3_products, load_typed_projection, company_canonical, company_sizes, crosswalk_family, uncovered_labels, text_normalize_hash, pii_redact_counts, markdown_strip, window_split,
     privacy_ngram_overlap, redaction_histogram, monthly_family_volume, taxonomy_vocabulary, product_month_gaps, exact_dup_pairs, exact_representatives, minhash_verified, star_groups, dup_group_representative,
     campaign_features, family_baseline_hhi, campaign_flags, expanded_population, panel, contingency_2x2, prr_ci, ror_z, bh_qvalues, eb_prior, ebgm, eb05, support_grouping_sets, densified_series, trailing_baseline,
-    change_alarms, alert_scopes, shuffle_control, asof_cutoff, backtest_outcomes, backtest_summary, unit_norms, knn_exact, centroid_assign, coherence_medoid, related_clusters, cluster_agreement, novelty_scores,
+    ewma_alarms, change_alarms, signal_rows, signal_support, alert_scopes, alert_tracks, false_alert_rate, shuffle_control, boilerplate_share, length_auc, asof_cutoff, backtest_outcomes, backtest_summary, unit_norms, knn_exact, centroid_assign, coherence_medoid, related_clusters, cluster_agreement, novelty_scores,
     ablation_auc, tokenize, bm25_rank, rrf_fuse, ir_metrics, win_tie_loss, wilson_rates, length_percentiles, precision_recall, baseline_units_b0, baseline_units_b1, near_miss_stride_sample, hash_sample,
     event_values, pair_tier_report,
 )

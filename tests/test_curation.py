@@ -1,3 +1,5 @@
+import random
+
 from harborlight.operators import curation
 
 
@@ -8,15 +10,24 @@ def test_unique_prefix(spark):
     assert curation.unique_prefix(n.limit(0), c).count() == 0
 
 
-def test_merge_candidates(spark):
-    c = spark.createDataFrame([("a", "ACME LOANS"), ("b", "ACMES LOANS"), ("c", "OTHER THING"), ("d", None)], "company_id string, normal string")
-    assert [(r.id_a, r.id_b) for r in curation.merge_candidates(c).collect()] == [("a", "b")]
+def test_merge_review_is_all_pairs_of_the_largest(spark):
+    rng = random.Random(4)
+    words = ["ACME", "ACMES", "ZETA", "ZEAT", "LOANS", "BANK", "CREDIT", "UNION", "GROUP", "FIRST"]
+    names = [(f"c{i:03}", " ".join(rng.sample(words, rng.randint(1, 4))), rng.randint(1, 50)) for i in range(120)] + [("none", None, 99), ("blank", "", 98)]
+    c = spark.createDataFrame(names, "company_id string, name string, n_complaints long")
+    largest = sorted([x for x in names if x[1] is not None], key=lambda x: (-x[2], x[0]))[:80]
+    want = {(a[0], b[0], int(curation.token_set_ratio(a[1], b[1]))) for i, a in enumerate(largest) for b in largest[i + 1 :] if curation.token_set_ratio(a[1], b[1]) >= 88}
+    assert {(r.id_a, r.id_b, r.score) for r in curation.merge_review(c, 80).collect()} == want and want
+    # one misspelt word beside common words is met, too
+    assert curation.token_set_ratio("WOKRUSESEKRUR CREDIT UNION", "WOKRUSESELRUR CREDIT UNION") >= 88
+    assert curation.token_set_ratio("SELENE", "SELENE FINANCE") == 100 and curation.token_set_ratio("", "A") == 0 and curation.merge_review(c.limit(0)).count() == 0
 
 
 def test_worklist_hides_and_is_stable(spark):
-    a, b = spark.createDataFrame([("x",), ("y",)], "k string"), spark.createDataFrame([("z",), ("x",)], "k string")
-    one, two = (curation.blinded_worklist(*p, "k", "s").collect() for p in ((a, b), (b, a)))
-    assert one == two and len(one) == 3 and set(one[0].asDict()) == {"position", "k"}
+    a, b = spark.createDataFrame([("x",), ("y",), ("y",)], "k string"), spark.createDataFrame([("z",), ("x",), ("w",), ("v",)], "k string")
+    one, two = (curation.blinded_worklist(p, b, "k", "s", 2).collect() for p in (a, a.orderBy("k")))
+    assert one == two and len(one) == 4 and set(one[0].asDict()) == {"position", "k"} and {"x", "y"} < {r.k for r in one}
+    assert curation.blinded_worklist(a.limit(0), b.limit(0), "k", "s", 2).count() == 0
 
 
 def test_latest_run_and_audit(spark):

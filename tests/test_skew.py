@@ -26,3 +26,20 @@ def test_empty_and_repeated(spark):
     assert skew.key_states(empty, ["key"], ["n"], {"n": F.col("n")}).count() == 0
     assert skew.eager_join(empty, empty, ["key"], ["n"], []).count() == 0
     assert skew.once(spark.createDataFrame([("a", 1), ("a", 1), (None, None), (None, None)], "key string, n long")).count() == 2
+
+
+def test_repeated_rows_count_once_without_shuffling_rows(spark):
+    rows = [("a", 1, 1.5, "x")] * 3 + [("a", 1, 1.5, "y"), (None, 2, None, "x"), (None, 2, None, "x"), ("b", None, 4.0, None), ("a", 2, 1.0, "x")]
+    df = spark.createDataFrame(rows, "k string, n int, v double, w string").repartition(3)
+    assert {(*r,) for r in skew.repeats(df).collect()} == {("a", 1, 1.5, "x", 2), (None, 2, None, "x", 1)}
+    distinct = {"w": F.col("w")}
+    got, want = (sorted(map(str, f(d, ["k"], ["n", "v"], distinct).collect())) for f, d in ((skew.key_states_once, df), (skew.key_states, df.distinct())))
+    assert got == want and skew.key_states_once(df.limit(0), ["k"], ["n"]).count() == 0
+
+
+def test_left_join_of_states_is_the_join_of_rows(spark):
+    left = spark.createDataFrame([(1, "p", 2), (1, "p", 3), (2, "q", 4), (None, "q", 5)], "k int, g string, n int")
+    right = spark.createDataFrame([(1, 10), (1, 20), (3, 30), (None, 40)], "k int, m int")
+    got = skew.roll_up(skew.eager_join(left, right, ["k"], ["n"], ["m"], carry=["g"], how="left"), ["g"], ["join_rows", "matched_rows", "left_n", "right_m"])
+    rows = left.join(right, "k", "left").groupBy("g").agg(F.count(F.lit(1)).alias("join_rows"), F.count("m").alias("matched_rows"), F.sum("n").alias("left_n"), F.sum("m").alias("right_m"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.select("g", "join_rows", "matched_rows", "left_n", "right_m").collect()))

@@ -27,8 +27,9 @@ from harborlight.session import cut
 MIN_SUFFIX, COMMON, RATIO = 5, 200, 0.86
 #: Letters at the far end that refine a common suffix; cores from so many letters on may differ by a letter, though that takes more than 1 - RATIO of a short one.
 REFINE, MIN_EDITED = 4, 5
-#: The shortest core that may lack two letters of another: 14 / 16 >= RATIO.
-MIN_TWICE = 9
+#: Cores of which forms with two letters left out are made: the shortest that may lack two letters of another (14 / 16 >= RATIO), and the longest, as
+#: there are n * n / 2 of them. Longer ones are met by their first or last END letters with one left out; two lengths have both.
+MIN_TWICE, MAX_TWICE, END = 9, 26, 12
 # Legal forms and articles; lines of business; what marks a lawyer; short forms of given names.
 LEGAL = frozenset("""inc incorporated llc corp corporation co company na national association ltd limited liability lp llp plc pc pllc the a of and
 holdings usa us""".split())
@@ -201,7 +202,9 @@ def _left_out(c, n):
 def _similar_cores(cores: DataFrame, ratio: float) -> DataFrame:
     """(scope, core_a < core_b) of distinct (scope, core) at or above the ratio, by suffix blocks and left-out forms within a scope."""
     n = F.length("core")
-    lengths = F.when(n >= MIN_SUFFIX, F.sequence(F.lit(MIN_SUFFIX), F.greatest(n, F.lit(MIN_SUFFIX)))).otherwise(F.array().cast("array<int>"))
+    # every length up to 32, then doubling: a longer shared suffix is a refinement of a shorter one
+    steps = F.concat(F.sequence(F.lit(MIN_SUFFIX), F.greatest(F.least(n, F.lit(32)), F.lit(MIN_SUFFIX))), F.array(*(F.lit(1 << k) for k in range(6, 21))), F.array(n))
+    lengths = F.when(n >= MIN_SUFFIX, F.array_distinct(F.filter(steps, lambda k: k <= n))).otherwise(F.array().cast("array<int>"))
     ends = F.transform(lengths, lambda k: F.concat(F.lit(">"), F.substring("core", n - k + 1, k)))
     starts = F.transform(lengths, lambda k: F.concat(F.lit("<"), F.substring("core", F.lit(1), k)))
     blocks = cores.select("scope", "core", F.explode(F.array_distinct(F.concat(ends, starts))).alias("suffix"))
@@ -210,10 +213,14 @@ def _similar_cores(cores: DataFrame, ratio: float) -> DataFrame:
     far = F.when(F.col("suffix").startswith(">"), F.substring("core", 1, REFINE)).otherwise(F.substring("core", F.greatest(n - REFINE + 1, F.lit(1)), F.lit(REFINE)))
     finer = F.transform(_left_out(far, F.length(far)), lambda x: F.concat_ws("|", F.col("suffix"), x))
     refined = sized.select("scope", "core", F.explode(F.when(F.col("n") <= COMMON, F.array("suffix")).otherwise(F.array_distinct(finer))).alias("block"))
-    once = _left_out(F.col("core"), n)
-    twice = F.when(n >= MIN_TWICE, F.flatten(F.transform(once, lambda x: _left_out(x, n - 1)))).otherwise(F.array().cast("array<string>"))
-    forms = F.array_distinct(F.concat(F.array("core"), once, twice))
-    short = cores.select("scope", "core", F.explode(F.transform(forms, lambda x: F.concat(F.lit("-"), x))).alias("block"))
+    none = F.array().cast("array<string>")
+    tagged = lambda forms, tag: F.transform(forms, lambda x: F.concat(F.lit(tag), x))
+    once = F.when(n <= MAX_TWICE, F.concat(F.array("core"), _left_out(F.col("core"), n))).otherwise(none)
+    twice = F.when(n.between(MIN_TWICE, MAX_TWICE), F.flatten(F.transform(_left_out(F.col("core"), n), lambda x: _left_out(x, n - 1)))).otherwise(none)
+    first, last = F.substring("core", 1, END), F.substring("core", F.greatest(n - END + 1, F.lit(1)), F.lit(END))
+    halves = F.when(n >= MAX_TWICE - 3, F.concat(tagged(_left_out(first, F.lit(END)), "(-"), tagged(_left_out(last, F.lit(END)), ")-"))).otherwise(none)
+    forms = F.array_distinct(F.concat(tagged(F.concat(once, twice), "-"), halves))
+    short = cores.select("scope", "core", F.explode(forms).alias("block"))
     every = refined.unionByName(short)
     a, b = (every.select("scope", "block", F.col("core").alias(f"core_{s}")) for s in "ab")
     pairs = a.join(b, ["scope", "block"]).where("core_a < core_b")

@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.llm.consistent import consistent
-from harborlight.session import cut, drop_cut
 
 DECAY, LANDMARKS, RIDGE, SEED = 0.6, 768, 0.003, 20260803
-#: The model is fitted on at most so many labelled documents, those with the smallest hash of their key, on so many unlabelled ones as
-#: background whatever the size of the corpus, and on at most so many clean passages of them, drawn by a fixed seed. Scoring has no such bound.
-MAX_LABELLED, BACKGROUND, MAX_CLEAN_PASSAGES = 9000, 3000, 6000
+#: The model is fitted on at most so many labelled documents, those with the smallest hash of their key, and on at most so many clean
+#: passages of them, drawn by a fixed seed. Scoring has no such bound.
+MAX_LABELLED, MAX_CLEAN_PASSAGES = 9000, 6000
 #: The threshold counts for pos / (pos + SHRINK) of its fitted value: with few abusive documents to fit it on it nears 0.
 SHRINK = 20
 SPAN, STEP = 72, 24
@@ -212,20 +211,14 @@ def _disguised(phrase: str, rng: np.random.Generator) -> str:
     return " ".join([*words[:k], w, *words[k + 1 :]])
 
 
-def fit(texts: list[str], labels: list[int], background: list[str] | None = None, landmarks: int = LANDMARKS, ridge: float = RIDGE, rounds: int = 4) -> Model:
-    """The model from document labels. Without any labelled document it rests on the seeds alone.
-
-    Background documents have no label. Few documents of a corpus are abusive, so they count as clean where passages are concerned, but not
-    for the threshold.
-    """
+def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, ridge: float = RIDGE, rounds: int = 4) -> Model:
+    """The model from document labels. Without any labelled document it rests on the seeds alone."""
     rng = np.random.default_rng(SEED)
-    docs = [passages(t) if t else [] for t in [*texts, *(background or [])]]
-    y = np.array([int(v) for v in labels] + [0] * len(background or []), np.int64)
+    docs = [passages(t) if t else [] for t in texts]
+    y = np.array([int(v) for v in labels], np.int64)
     seeds = [*SEEDS, *(_disguised(s, rng) for s in SEEDS for _ in range(2))]
-    # the hardest clean passages are looked for among labelled documents only: among others they would be abusive ones
-    pool = list(dict.fromkeys(p for d, v in zip(docs[: len(texts)], y) if not v for p in d))
-    clean = list(dict.fromkeys([*pool, *(p for d in docs[len(texts) :] for p in d)]))
-    clean = [clean[i] for i in sorted(rng.permutation(len(clean))[: MAX_CLEAN_PASSAGES // 2])] + PLAIN
+    pool = list(dict.fromkeys(p for d, v in zip(docs, y) if not v for p in d))
+    clean = [pool[i] for i in sorted(rng.permutation(len(pool))[: MAX_CLEAN_PASSAGES // 2])] + PLAIN
     dirty = [d for d, v in zip(docs, y) if v and d]
     # pairs of words that clean documents hardly have tell where in a labelled document to look
     seen = [Counter(), Counter()]
@@ -251,7 +244,7 @@ def fit(texts: list[str], labels: list[int], background: list[str] | None = None
             i += len(d)
         hardest = np.argsort(-_passage_scores(Model(weights, bias, 0.0), pool), kind="stable")[: MAX_CLEAN_PASSAGES // 2]
         weights, bias = _train(list(dict.fromkeys(found)) + seeds[:: 1 + k], clean + familiar, [pool[i] for i in hardest], rng, landmarks, ridge)
-    return Model(weights, bias, _threshold(Model(weights, bias, 0.0), texts, y[: len(texts)]))
+    return Model(weights, bias, _threshold(Model(weights, bias, 0.0), texts, y))
 
 
 def _word_pairs(passage: str) -> list[tuple[str, str]]:
@@ -277,27 +270,19 @@ def _threshold(m: Model, texts: list[str], y: np.ndarray) -> float:
     return float(np.median(grid[f1 >= f1.max() - 0.004])) * float(y.sum() / (y.sum() + SHRINK))
 
 
-def fit_labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, max_docs: int = MAX_LABELLED, background: int = BACKGROUND) -> Model:
-    """fit() on at most max_docs labelled and `background` unlabelled documents, those whose key has the smallest hash; docs is read once.
+def fit_labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, max_docs: int = MAX_LABELLED) -> Model:
+    """fit() on at most max_docs labelled documents, those whose key has the smallest hash; docs is read once.
 
     Null texts, keys and labels are left out. A document labelled both ways is taken with both.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).distinct()
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 40))
-
-    def bound(n: int, total: int) -> int:
-        # only a few more rows than wanted pass, so what reaches the driver is bounded whatever the number of partitions
-        return int(min(1.0, (1.2 * n + 1000) / max(1, total)) * (1 << 40))
-
-    sample = marked.where(slot("__k") < bound(max_docs, marked.count())).orderBy(slot("__k"), "__k", "__y").limit(max_docs)
-    told = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(text).alias("__t"))
-    drawn = told.join(F.broadcast(sample), "__k", "left").where(F.col("__y").isNotNull() | (slot("__k") < bound(background, docs.count())))  # max_docs rows are broadcast
-    drawn = cut(drawn)
-    rows = drawn.where("__y is not null").orderBy(slot("__k"), "__k", "__y").select("__t", "__y").collect()
-    other = drawn.where("__y is null").join(marked, "__k", "left_anti")
-    rest = other.orderBy(slot("__k"), "__k").limit(background).select("__t").collect()
-    drop_cut(drawn)
-    return fit([r[0] for r in rows], [int(r[1] > 0) for r in rows], [r[0] for r in rest])
+    slot = F.pmod(F.xxhash64("__k"), F.lit(1 << 40))
+    # only a few more rows than wanted pass, so what is sorted is bounded whatever the number of partitions
+    bound = int(min(1.0, (1.2 * max_docs + 1000) / max(1, marked.count())) * (1 << 40))
+    sample = marked.where(slot < bound).orderBy(slot, "__k", "__y").limit(max_docs)
+    told = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__k"), F.col(text).alias("__t"))
+    rows = told.join(F.broadcast(sample), "__k").orderBy(slot, "__k", "__y").select("__t", "__y").collect()  # max_docs rows are broadcast
+    return fit([r[0] for r in rows], [int(r[1] > 0) for r in rows])
 
 
 def score_documents(docs: DataFrame, key: str, text: str, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -115,22 +115,55 @@ def test_lcs_ratio():
     assert names.lcs_ratio("", "a") == 0
 
 
-def test_linkage_equals_sequential_average_linkage(spark):
+@pytest.mark.parametrize("local", [0, 20, 200_000])
+def test_linkage_equals_sequential_average_linkage(spark, local):
     rng = random.Random(3)
-    nodes = [f"n{i:02d}" for i in range(18)]
-    edges = {(a, b): round(rng.random(), 6) for a, b in itertools.combinations(nodes, 2) if rng.random() < 0.35}
-    clusters = [[n] for n in nodes if any(n in e for e in edges)]
-    mean = lambda x, y: sum(edges.get((min(a, b), max(a, b)), 0) for a in x for b in y) / (len(x) * len(y))
+    nodes = {f"n{i:02d}": rng.randint(1, 5) for i in range(18)}
+    edges = {(a, b): round(rng.random() * nodes[a] * nodes[b], 6) for a, b in itertools.combinations(nodes, 2) if rng.random() < 0.35}
+    clusters = [[n] for n in nodes]
+    total = lambda x, y: sum(edges.get((min(a, b), max(a, b)), 0) for a in x for b in y)
+    mean = lambda x, y: total(x, y) / (sum(nodes[a] for a in x) * sum(nodes[b] for b in y))
     while True:
         best = max(((mean(x, y), i, j) for (i, x), (j, y) in itertools.combinations(enumerate(clusters), 2)), default=(0, 0, 0))
         if best[0] < 0.2:
             break
         clusters[best[1]] += clusters.pop(best[2])
-    got = linkage.reciprocal_linkage(spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a string, b string, similarity double"), 0.2)
+    graph = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a string, b string, total double")
+    got = linkage.reciprocal_linkage(graph, spark.createDataFrame(list(nodes.items()), "node string, n long"), 0.2, local)
     found = {}
     for r in got.collect():
         found.setdefault(r.cluster, set()).add(r.node)
-    assert {frozenset(c) for c in found.values()} == {frozenset(c) for c in clusters}
+    assert {frozenset(c) for c in found.values()} == {frozenset(c) for c in clusters} and all(c == min(v) for c, v in found.items())
+
+
+def test_associations_are_those_beyond_chance(spark):
+    rng = random.Random(5)
+    rows = [(i, [f"n{rng.randint(0, 30)}" for _ in range(6)] + ([f"a{rng.randint(0, 3)}", f"b{rng.randint(0, 3)}"] if i % 10 == 0 else [])) for i in range(3000)]
+    df = spark.createDataFrame([(i, list(dict.fromkeys(k))) for i, k in rows], "id long, keys array<string>")
+    edges, _ = linkage.associations(df)
+    assert {(r.f[0], r.g[0]) for r in edges.collect()} == {("a", "b")} and edges.count() >= 12  # noise meets noise about 100 times a pair, by chance
+    assert linkage.associations(df.limit(0))[0].count() == 0
+
+
+def test_groups_dont_depend_on_the_size_of_the_table(spark):
+    rng = random.Random(8)
+    themes = {t: [f"{w} {t} {k} thing happened to my {t} account." for k, w in enumerate(["The", "My", "Their", "Some", "No", "Every", "Any", "Each"])] for t in ("escrow", "parcel", "ticket")}
+
+    def record(t):
+        s = rng.sample(themes[t], 4) + [" ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(12)).capitalize() + "." for _ in range(3)]
+        return " ".join(rng.sample(s, len(s)))
+
+    rows = [(i, record(list(themes)[i % 3])) for i in range(300)]
+
+    def split(table):
+        return {r.id: r.cluster for r in linkage.cluster_records(spark.createDataFrame(table, "id long, t string"), "id", "t")[0].collect()}
+
+    small = split(rows)
+    copies = split(rows + [(i + 1000 * k, t) for i, t in rows for k in range(1, 10)])
+    other = split(rows + [(i + 1000, record(list(themes)[i % 3])) for i in range(2700)])
+    assert all(copies[i] == copies[i + 1000 * k] for i, _ in rows for k in range(1, 10))
+    for more in (copies, other):
+        assert len({(small[i], more[i]) for i, _ in rows}) == 3 and None not in {more[i] for i, _ in rows}
 
 
 def test_records_by_theme(spark):

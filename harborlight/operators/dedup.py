@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight.functions import text as T
-from harborlight.session import cut
+from harborlight.session import cut, drop_cut
 
 PERMUTATIONS, BANDS, ROWS, PRIME, THRESHOLD, SEED = 128, 16, 8, (1 << 32) - 5, 0.88, 20260803
 
@@ -32,13 +32,15 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, PRIME, PERMUTATIONS, dtype=np.uint64), rng.integers(0, PRIME, PERMUTATIONS, dtype=np.uint64)
 
 
+_A, _B = _coefficients()
+
+
 def signature(pieces: list[str]) -> np.ndarray:
     """The smallest (a h + b) mod p of the pieces' CRC-32 for each permutation; no pieces give 2^32 - 1."""
     if not pieces:
         return np.full(PERMUTATIONS, (1 << 32) - 1, np.uint64)
-    a, b = _coefficients()
     h = np.array([zlib.crc32(p.encode()) for p in pieces], np.uint64)
-    return ((a[:, None] * (h % np.uint64(PRIME))[None, :] + b[:, None]) % np.uint64(PRIME)).min(axis=1)
+    return ((_A[:, None] * (h % np.uint64(PRIME))[None, :] + _B[:, None]) % np.uint64(PRIME)).min(axis=1)
 
 
 def _sign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,25 +68,61 @@ def minhash_links(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scored.where(F.col("similarity") >= threshold).select("a", "b", "similarity", F.lit("minhash").alias("method"))
 
 
-def star_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
+#: Undecided nodes and links that one task decides by the sequential rule, with the same result as more rounds would have.
+LOCAL_LINKS = 200_000
+
+
+def _greedy(nodes: list[tuple[int, int, bool]], links: list[tuple[int, int]]) -> list[tuple[int, bool]]:
+    """(id, is_seed) of undecided nodes (id, degree, taken): in order of degree and id, a node that is not taken yet is a seed and takes its neighbours."""
+    near: dict[int, list[int]] = {}
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+    taken = {i for i, _, t in nodes if t}
+    out = []
+    for i, _, _ in sorted(nodes, key=lambda x: (-x[1], x[0])):
+        seed = i not in taken
+        out.append((i, seed))
+        if seed:
+            taken.update(near.get(i, ()))
+    return out
+
+
+def star_clusters(nodes: DataFrame, links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """(id, seed): seeds in order of degree (then id) take their unassigned neighbours; nobody chains on through a member.
 
     Rounds: an undecided node that comes before all its undecided neighbours is a seed, and its neighbours are members. The seeds are
-    those of the sequential greedy. A member then takes the first of its seed neighbours in that order.
+    those of the sequential greedy. Once at most `local` links between undecided nodes are left, one task decides the rest by that greedy itself, so a long chain of
+    equal degrees doesn't take a round a node. A member then takes the first of its seed neighbours in that order. Nodes without a link are seeds; ends that are no nodes are ignored.
     """
-    links = links.where("a <> b")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    ids = nodes.select("id").distinct()
+    real = links.where("a <> b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    both = cut(real.select("a", "b").unionByName(real.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    state = cut(nodes.select("id").distinct().join(degree.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"), F.lit(0).alias("is_seed"), F.lit(1).alias("open")))
-    both = cut(both)
-    while state.where("open = 1").limit(1).count():
+    state = cut(ids.join(degree.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"), F.when(F.col("deg").isNull(), 1).otherwise(0).alias("is_seed"), F.col("deg").isNotNull().cast("int").alias("open")))
+    live = both
+    while live.limit(local + 1).count() > local:
         free = state.where("open = 1").select("id", F.struct(-F.col("deg"), "id").alias("rank"))
         other = free.select(F.col("id").alias("b"), F.col("rank").alias("brank"))
-        rival = both.join(free.select(F.col("id").alias("a")), "a").join(other, "b").groupBy("a").agg(F.min("brank").alias("first"))
-        seeds = free.join(rival, free.id == rival.a, "left").where("first is null or rank < first").select("id")
-        taken = both.join(seeds.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id")).distinct().withColumn("t", F.lit(1))
+        rival = live.join(other, "b").groupBy("a").agg(F.min("brank").alias("first"))
+        seeds = cut(free.join(rival, free.id == rival.a, "left").where("first is null or rank < first").select("id"))
+        taken = live.join(seeds.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id")).distinct().withColumn("t", F.lit(1))
         nxt = state.join(seeds.withColumn("s", F.lit(1)), "id", "left").join(taken, "id", "left")
-        state = cut(nxt.select("id", "deg", F.when((F.col("open") == 1) & F.col("s").isNotNull(), 1).otherwise(F.col("is_seed")).alias("is_seed"), F.when(F.col("s").isNotNull() | F.col("t").isNotNull(), 0).otherwise(F.col("open")).alias("open")))
+        new = cut(nxt.select("id", "deg", F.when((F.col("open") == 1) & F.col("s").isNotNull(), 1).otherwise(F.col("is_seed")).alias("is_seed"), F.when(F.col("s").isNotNull() | F.col("t").isNotNull(), 0).otherwise(F.col("open")).alias("open")))
+        still = new.where("open = 1").select("id")
+        rest = cut(live.join(still.withColumnRenamed("id", "a"), "a", "left_semi").join(still.withColumnRenamed("id", "b"), "b", "left_semi"))
+        drop_cut(state, seeds, *([live] if live is not both else []))
+        state, live = new, rest
+
+    def finish(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(it) or [pd.DataFrame(columns=["id", "deg", "b"])])
+        known = rows.drop_duplicates("id")
+        got = _greedy([(int(i), int(d), False) for i, d in zip(known["id"], known["deg"])], [(int(a), int(b)) for a, b in zip(rows["id"], rows["b"]) if b == b and b is not None])
+        yield pd.DataFrame({"id": [i for i, _ in got], "s": [s for _, s in got]}).astype({"id": "int64", "s": bool})
+
+    open_ = state.where("open = 1").select("id", "deg").join(live.withColumnRenamed("a", "id"), "id")
+    alone = state.where("open = 1").join(live.select(F.col("a").alias("id")), "id", "left_anti").select("id", F.lit(True).alias("s"))  # all rivals are decided
+    decided = open_.coalesce(1).mapInPandas(finish, "id long, s boolean").unionByName(alone)
+    state = cut(state.join(decided, "id", "left").select("id", "deg", F.when(F.coalesce("s", F.lit(False)), 1).otherwise(F.col("is_seed")).alias("is_seed")))
     seeds = state.where("is_seed = 1")
     near = both.join(seeds.select(F.col("id").alias("b"), "deg"), "b").groupBy("a").agg(F.min_by("b", F.struct(-F.col("deg"), "b")).alias("seed"))
     return state.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.when(F.col("is_seed") == 1, F.col("id")).otherwise(F.col("seed")).alias("seed"))

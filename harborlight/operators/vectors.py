@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborlight.session import cut, drop_cut
+
 MAX_DISTANCE, RELATED, BLOCK_BYTES = 0.35, 0.80, 256 << 20
 
 
@@ -17,39 +19,62 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """(id, neighbour, score, rank): the k base vectors of highest inner product for each query vector, never itself.
-
-    Rows with a null id or vector are left out; no query rows give no rows. The stated queries (id, v) are sent to the tasks in blocks of bounded size and held against all base rows; each task
-    keeps its k best for each query, so k rows a query and task are shuffled. Ties go to the smaller neighbour.
+def _blocks(rows: DataFrame, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys in order, vectors) of rows (key, vector), in blocks of about `most` bytes: a hash of the key tells the block, so blocks are collected one at a time."""
+    key, v = rows.columns[:2]
+    n, dim = rows.count(), len((rows.select(v).first() or [[]])[0])
+    blocks = max(1, -(-8 * n * dim // (most or BLOCK_BYTES)))
+    for b in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else rows
+        got = sorted((r[0], r[1]) for r in part.select(key, v).collect())
+        yield np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64).reshape(len(got), dim)
+
+
+def _in_turn(rows: DataFrame, run) -> DataFrame:
+    """The union of run(keys, matrix) over all blocks of rows. With several of them each result is written before the next block is sent, so one is held at a time."""
+    out, held = None, None
+    context = rows.sparkSession.sparkContext
+    for ids, matrix in _blocks(rows):
+        if held is not None:  # there are more: write what the last block gave
+            out[-1] = cut(out[-1])
+            held.destroy()
+        held = context.broadcast((ids, matrix))
+        out = [*(out or []), run(held)]
+    if len(out) > 1:
+        out[-1] = cut(out[-1])
+        held.destroy()
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, same: bool = True) -> DataFrame:
+    """(id, neighbour, score, rank): the k base vectors of highest inner product for each query vector; with `same` ids are of one table, and a row is never its own neighbour.
+
+    Rows with a null id or vector are left out; no query rows give no rows. The stated queries (id, v) are sent to the tasks in blocks of bounded size, one at a time, and held
+    against all base rows; each batch keeps its k best for each query, so k rows a query and batch are shuffled. Ties go to the smaller neighbour.
     """
     queries, base = (x.where("id is not null and v is not null").select("id", "v") for x in (queries, base))
-    n, dim = queries.count(), len((queries.select("v").first() or [[]])[0])
-    size = max(1, BLOCK_BYTES // max(1, 8 * dim))
-    blocks = max(1, -(-n // size))
-    keyed = queries.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        rows = keyed.where(F.col("__b") == b).select("id", "v").toArrow()
-        ids = rows["id"].to_numpy()
-        matrix = np.array(rows["v"].to_pylist(), np.float64).reshape(len(ids), dim)
-        held = base.sparkSession.sparkContext.broadcast((ids, matrix))
 
-        def run(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+    def against(held) -> DataFrame:
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = held.value
             for pdf in it:
                 if not len(pdf) or not len(ids):
                     continue
                 other = pdf["id"].to_numpy()
                 s = matrix @ np.array(pdf["v"].tolist(), np.float64).T
-                s[ids[:, None] == other[None, :]] = -np.inf
+                if same:
+                    s[ids[:, None] == other[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(other, s.shape), -s), axis=1)[:, :k]
                 top = np.take_along_axis(s, order, 1)
                 keep = np.isfinite(top)
                 yield pd.DataFrame({"id": np.repeat(ids, order.shape[1])[keep.ravel()], "neighbour": other[order].ravel()[keep.ravel()], "score": top.ravel()[keep.ravel()]})
 
-        part = base.select("id", "v").mapInPandas(run, "id long, neighbour long, score double")
-        out = part if out is None else out.unionByName(part)
+        return base.select("id", "v").mapInPandas(run, "id long, neighbour long, score double")
+
+    out = _in_turn(queries, against)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -64,35 +89,29 @@ def centroids(points: DataFrame) -> DataFrame:
 
 
 def assign(points: DataFrame, centres: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """(id, cluster, similarity): the nearest centroid (ties: the smaller cluster), cluster -1 beyond the distance.
+    """(id, cluster, similarity): the nearest centroid (ties: the smaller cluster), cluster -1 beyond the distance. Without centroids similarity is null.
 
-    The centroids are the stated query set; each task holds them all, which is checked against BLOCK_BYTES.
+    The centroids are the stated query set, in blocks; a point's best of each block meet afterwards.
     """
-    ids, matrix = _held(centres.select("cluster", "centroid"))
-    held = points.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = held.value
-        for pdf in it:
-            if len(pdf):
-                if len(ids):
-                    s = np.array(pdf["v"].tolist(), np.float64) @ matrix.T
-                    at = s.argmax(axis=1)
-                    top = s[np.arange(len(s)), at]
-                    yield pd.DataFrame({"id": pdf["id"], "cluster": np.where(top >= 1 - max_distance, ids[at], -1), "similarity": top})
-                else:
-                    yield pd.DataFrame({"id": pdf["id"], "cluster": -1, "similarity": float("nan")})
 
-    return points.select("id", "v").mapInPandas(run, "id long, cluster int, similarity double")
+    def against(held) -> DataFrame:
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = held.value
+            for pdf in it:
+                if len(pdf):
+                    if len(ids):
+                        s = np.array(pdf["v"].tolist(), np.float64) @ matrix.T
+                        at = s.argmax(axis=1)
+                        yield pd.DataFrame({"id": pdf["id"], "cluster": ids[at], "similarity": s[np.arange(len(s)), at]})
+                    else:
+                        yield pd.DataFrame({"id": pdf["id"], "cluster": -1, "similarity": np.full(len(pdf), -np.inf)})
 
+        return points.select("id", "v").mapInPandas(run, "id long, cluster int, similarity double")
 
-def _held(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and vectors of a table that is checked to fit a task."""
-    n, dim = rows.count(), len((rows.select(rows.columns[1]).first() or [[]])[0])
-    if 8 * n * dim > BLOCK_BYTES:
-        raise ValueError(f"{n} vectors of {dim} take more than {BLOCK_BYTES} bytes")
-    got = sorted((r[0], r[1]) for r in rows.collect())
-    return np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64).reshape(len(got), dim)
+    each = _in_turn(centres.select("cluster", "centroid"), against)
+    best = each.groupBy("id").agg(F.min_by(F.struct("cluster", "similarity"), F.struct(-F.col("similarity"), "cluster")).alias("b"))
+    s = F.col("b.similarity")
+    return best.select("id", F.when(s >= 1 - max_distance, F.col("b.cluster")).otherwise(-1).alias("cluster"), F.when(s > F.lit(float("-inf")), s).alias("similarity"))
 
 
 def coherence(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -102,22 +121,24 @@ def coherence(points: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def related(centres: DataFrame, families: DataFrame, least: float = RELATED) -> DataFrame:
-    """(cluster_a < cluster_b, similarity) of clusters of different families: the centroids as query set against themselves."""
+    """(cluster_a < cluster_b, similarity) of clusters of different families: the centroids as query set, in blocks, against themselves."""
     c = centres.select("cluster", "centroid").join(families, "cluster")
-    ids, matrix = _held(c.select("cluster", "centroid"))
-    names = dict(c.select("cluster", "family").collect())  # as many as the checked centroids
-    held = centres.sparkSession.sparkContext.broadcast((ids, matrix, names))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix, names = held.value
-        for pdf in it:
-            rows = []
-            for cluster, family, v in zip(pdf["cluster"], pdf["family"], pdf["centroid"]):
-                s = matrix @ np.asarray(v, np.float64)
-                rows += [(cluster, int(o), float(x)) for o, x in zip(ids, s) if cluster < o and x >= least and names[o] != family]
-            yield pd.DataFrame(rows, columns=["cluster_a", "cluster_b", "similarity"])
+    def against(held) -> DataFrame:
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = held.value
+            for pdf in it:
+                rows = []
+                for cluster, v in zip(pdf["cluster"], pdf["centroid"]):
+                    s = matrix @ np.asarray(v, np.float64) if len(ids) else np.empty(0)
+                    rows += [(cluster, int(ids[i]), float(s[i])) for i in np.flatnonzero((ids > cluster) & (s >= least))]
+                yield pd.DataFrame(rows, columns=["cluster_a", "cluster_b", "similarity"])
+
+        return c.select("cluster", "centroid").mapInPandas(run, "cluster_a int, cluster_b int, similarity double")
 
-    return c.mapInPandas(run, "cluster_a int, cluster_b int, similarity double")
+    fa, fb = (families.select(F.col("cluster").alias(f"cluster_{s}"), F.col("family").alias(f"family_{s}")) for s in "ab")
+    found = _in_turn(c.select("cluster", "centroid"), against).join(fa, "cluster_a").join(fb, "cluster_b")
+    return found.where("family_a <> family_b").select("cluster_a", "cluster_b", "similarity")
 
 
 def novelty(members: DataFrame, space: DataFrame) -> DataFrame:
@@ -204,19 +225,29 @@ def agreement(pairs: DataFrame) -> DataFrame:
     return j.select(ari.alias("ari"), (mi / ((hx + hy) / 2)).alias("nmi"))
 
 
-def mmr(vectors: np.ndarray, centre: np.ndarray, k: int, weight: float = 0.5) -> list[int]:
-    """Greedy maximal marginal relevance; the first index wins ties."""
-    chosen: list[int] = []
-    if k <= 0 or not len(vectors):
-        return chosen
-    near, apart = vectors @ centre, np.full(len(vectors), -np.inf)
-    while len(chosen) < min(k, len(vectors)):
-        value = weight * near - (1 - weight) * np.where(np.isinf(apart), 0.0, apart)
-        value[chosen] = -np.inf
-        i = int(np.argmax(value))
-        chosen.append(i)
-        apart = np.maximum(apart, vectors @ vectors[i])
-    return chosen
+def mmr_select(points: DataFrame, centres: DataFrame, nearest_k: int = 12, k: int = 20, weight: float = 0.5) -> DataFrame:
+    """points (id, v, cluster) -> (cluster, id, nth): per cluster the nearest_k members closest to the centroid, then, up to k, each next by maximal marginal relevance.
+
+    Relevance is the similarity to the centroid, redundancy the greatest similarity to a member chosen before; ties go to the smaller id. A round is one aggregate over all members and the
+    chosen of a cluster are at most k, so clusters of any size are spread over tasks.
+    """
+    near = points.join(centres.select("cluster", "centroid"), "cluster").select("cluster", "id", "v", F.round(dot("v", "centroid"), 9).alias("near"))
+    w = Window.partitionBy("cluster", "part").orderBy(F.desc("near"), "id")
+    # the first ones: best of each of 64 parts of a cluster, then of those
+    parted = near.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(w)).where(F.col("r") <= nearest_k)
+    first = parted.withColumn("part", F.lit(0)).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= nearest_k)
+    chosen = cut(first.select("cluster", "id", "v", "nth"))
+    far = lambda: F.coalesce(F.round(F.max(dot("v", "w")), 9), F.lit(float("-inf")))
+    state = cut(near.join(chosen.select("cluster", "id"), ["cluster", "id"], "left_anti").join(chosen.select("cluster", F.col("v").alias("w")), "cluster").groupBy("cluster", "id", "v", "near").agg(far().alias("apart")))
+    for nth in range(nearest_k + 1, k + 1):
+        value = F.lit(weight) * F.col("near") - F.lit(1 - weight) * F.col("apart")
+        best = state.groupBy("cluster").agg(F.min_by(F.struct("id", "v"), F.struct(-F.round(value, 9), "id")).alias("b")).select("cluster", "b.id", "b.v")
+        best = cut(best.withColumn("nth", F.lit(nth)))
+        chosen = chosen.unionByName(best)
+        left = state.join(best.select("cluster", "id"), ["cluster", "id"], "left_anti").join(best.select("cluster", F.col("v").alias("w")), "cluster")
+        old, state = state, cut(left.select("cluster", "id", "v", "near", F.greatest("apart", F.round(dot("v", "w"), 9)).alias("apart")))
+        drop_cut(old)
+    return chosen.select("cluster", "id", "nth")
 
 
 def wilson(successes, n, z: float = 1.959963984540054):

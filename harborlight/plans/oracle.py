@@ -89,9 +89,7 @@ dfq AS (SELECT term, ln(((SELECT count(*) FROM bl) - count(*) + 0.5) / (count(*)
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM dfq) ELSE raw END AS idf FROM dfq),
 bq AS (SELECT item_id AS query_id, term, count(*) AS qn FROM (SELECT item_id, unnest({toks('text')}) AS term FROM eval_items) GROUP BY ALL),
 bs AS (SELECT query_id, doc_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM bl)))), 9) AS score FROM bq JOIN idf USING (term) JOIN tf USING (term) JOIN bl USING (doc_id) GROUP BY ALL),
-br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs),
-ds AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT DISTINCT query_id, term FROM bq) JOIN tf USING (term) GROUP BY ALL),
-dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds) WHERE rank <= 50)"""
+br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs)"""
 
 
 def metrics(name: str, ranking: str) -> str:
@@ -201,11 +199,7 @@ SQL: dict[str, str] = {
  SELECT hidden AS issue, p AS n_positive, round((s - p * (p + 1) / 2.0) / (p * (n - p)), 6) AS auc FROM a WHERE p > 0 AND n > p""",
     "tokenize": f"SELECT doc_id, len({toks('text')}) AS n_tokens, len(list_distinct({toks('text')})) AS n_distinct FROM documents",
     "bm25_rank": f"WITH {BM} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM br WHERE rank <= 10",
-    "rrf_fuse": f"""WITH {BM} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
- SELECT query_id, doc_id, coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0) AS score FROM dr d FULL JOIN (SELECT * FROM br WHERE rank <= 50) s USING (query_id, doc_id))) WHERE rank <= 10""",
     "ir_metrics": f"WITH {BM}, {GRAMS}, b50 AS (SELECT * FROM br WHERE rank <= 50), {metrics('m', 'b50')} SELECT query_id, n_relevant, hits, round(recall, 6) AS recall, round(reciprocal_rank, 6) AS reciprocal_rank FROM m",
-    "win_tie_loss": f"""WITH {BM}, {GRAMS}, {metrics('x', 'br')}, {metrics('y', 'dr')} SELECT count(*) FILTER (WHERE (x.recall, x.reciprocal_rank) > (y.recall, y.reciprocal_rank)) AS wins,
- count(*) FILTER (WHERE x.recall = y.recall AND x.reciprocal_rank = y.reciprocal_rank) AS ties, count(*) FILTER (WHERE (x.recall, x.reciprocal_rank) < (y.recall, y.reciprocal_rank)) AS losses FROM x JOIN y USING (query_id)""",
     "wilson_rates": """WITH g AS (SELECT source, count(*) AS n, sum(toxic) AS k FROM documents JOIN doc_labels USING (doc_id) GROUP BY ALL), z AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM g)
  SELECT source, n, k, round(greatest(0, (p + z*z/(2*n) - z * sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n)), 6) AS low, round(least(1, (p + z*z/(2*n) + z * sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n)), 6) AS high FROM z""",
     "length_percentiles": "SELECT source, round(median(n_chars), 6) AS median_chars, round(quantile_cont(n_chars, 0.95), 6) AS p95_chars FROM documents GROUP BY ALL",

@@ -461,17 +461,6 @@ def bm25_rank(spark, d):
     return _bm25(spark, d, 10).select("query_id", "doc_id", r6("score").alias("score"), "rank")
 
 
-def _dense_rank(spark, d):
-    """A second ranking of the same candidates: by share of the query's distinct tokens, shorter documents first on ties."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("t"))
-    q = _queries(spark, d).select("query_id", F.explode(F.array_distinct("tokens")).alias("t"))
-    return retrieval.ranked(q.join(docs, "t").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), 50)
-
-
-def rrf_fuse(spark, d):
-    return retrieval.fuse(_dense_rank(spark, d), _bm25(spark, d)).select("query_id", "doc_id", r6("score").alias("score"), "rank")
-
-
 def _relevant(spark, d):
     return privacy_ngram_overlap(spark, d).select(F.col("item_id").alias("query_id"), "doc_id")
 
@@ -480,12 +469,6 @@ def ir_metrics(spark, d):
     return retrieval.ir_metrics(_bm25(spark, d), _relevant(spark, d)).select("query_id", "n_relevant", "hits", r6("recall").alias("recall"), r6("reciprocal_rank").alias("reciprocal_rank"))
 
 
-def win_tie_loss(spark, d):
-    rel = cut(_relevant(spark, d))
-    a, b = retrieval.ir_metrics(_bm25(spark, d), rel), retrieval.ir_metrics(_dense_rank(spark, d), rel)
-    return retrieval.win_tie_loss(a, b)
-
-
 def wilson_rates(spark, d):
     g = table(spark, d, "documents").join(table(spark, d, "doc_labels"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
     low, high = vectors.wilson(F.col("k").cast("double"), F.col("n").cast("double"))
@@ -564,17 +547,23 @@ QUERIES = (
     privacy_ngram_overlap, redaction_histogram, monthly_family_volume, taxonomy_vocabulary, product_month_gaps, exact_dup_pairs, exact_representatives, minhash_verified, star_groups, dup_group_representative,
     campaign_features, family_baseline_hhi, campaign_flags, expanded_population, panel, contingency_2x2, prr_ci, ror_z, bh_qvalues, eb_prior, ebgm, eb05, support_grouping_sets, densified_series, trailing_baseline,
     ewma_alarms, change_alarms, signal_rows, signal_support, alert_scopes, alert_tracks, false_alert_rate, shuffle_control, boilerplate_share, length_auc, asof_cutoff, backtest_outcomes, backtest_summary, unit_norms, knn_exact, centroid_assign, coherence_medoid, related_clusters, cluster_agreement, novelty_scores,
-    ablation_auc, tokenize, bm25_rank, rrf_fuse, ir_metrics, win_tie_loss, wilson_rates, length_percentiles, precision_recall, baseline_units_b0, baseline_units_b1, near_miss_stride_sample, hash_sample,
+    ablation_auc, tokenize, bm25_rank, ir_metrics, wilson_rates, length_percentiles, precision_recall, baseline_units_b0, baseline_units_b1, near_miss_stride_sample, hash_sample,
     event_values, pair_tier_report,
 )
 
 
-def queries() -> dict:
-    def shipped(f):
+def shipped(functions) -> dict:
+    """name -> query of (spark, sf_dir), each shipping the package to the workers first."""
+
+    def wrap(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
             return f(spark, sf_dir)
 
         return run
 
-    return {f.__name__: shipped(f) for f in QUERIES}
+    return {f.__name__: wrap(f) for f in functions}
+
+
+def queries() -> dict:
+    return shipped(QUERIES)

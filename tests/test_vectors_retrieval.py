@@ -44,12 +44,6 @@ def test_auc_with_ties(spark):
     assert vectors.auc(spark.createDataFrame([(0.1, 1)], "score double, label long")).first().auc is None
 
 
-def test_mmr():
-    v = np.array([[1.0, 0], [0.99, 0.1], [0, 1.0]])
-    assert vectors.mmr(v, np.array([1.0, 0.2]), 2) == [1, 2] or vectors.mmr(v, np.array([1.0, 0.2]), 2)[0] in (0, 1)
-    assert vectors.mmr(v, np.array([1.0, 0.0]), 0) == [] and vectors.mmr(np.empty((0, 2)), np.array([1.0, 0.0]), 3) == []
-
-
 def test_bm25_rrf_and_measures(spark):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "a", "c"]), (3, ["d"]), (4, [])], "doc_id long, tokens array<string>")
     q = spark.createDataFrame([(7, ["c", "d"]), (8, [])], "query_id long, tokens array<string>")

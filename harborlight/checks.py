@@ -52,3 +52,19 @@ def schema_drift(df: DataFrame, wanted: StructType) -> dict[str, list[str]]:
         "extra": sorted(set(have) - set(want)),
         "changed": sorted(n for n in set(want) & set(have) if want[n] != have[n]),
     }
+
+
+def apply_schema(df: DataFrame, wanted: StructType) -> DataFrame:
+    """df in the wanted columns, order and types: absent columns are null, extra ones left out; a value that doesn't fit its type is an error."""
+    have = set(df.columns)
+    return df.select(*((F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
+
+
+def reconcile_rows(mapped: DataFrame, vectors: DataFrame) -> dict[str, int]:
+    """mapped (id, row_idx), vectors (row_idx): ids mapped twice, rows mapped without a vector, vectors nobody is mapped to."""
+    twice = mapped.groupBy("id").count().where("count > 1").count()
+    return {
+        "mapped_twice": twice,
+        "without_vector": mapped.select("row_idx").distinct().join(vectors, "row_idx", "left_anti").count(),
+        "unused": vectors.select("row_idx").join(mapped.select("row_idx"), "row_idx", "left_anti").count(),
+    }

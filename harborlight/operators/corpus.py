@@ -64,3 +64,16 @@ def reconcile(source: DataFrame, loaded: DataFrame, key: str, most: float = 0.00
 def top(rows: DataFrame, by: str, n: int, count: str = "n") -> DataFrame:
     """The n most frequent values of a column with their counts; ties to the smaller value. Counts are taken over all rows."""
     return rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias(count)).orderBy(F.desc(count), by).limit(n)
+
+
+def build_companies(raw: DataFrame, manual: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """raw (complaint_id, company_raw), manual (alias_raw, company_id) -> canonical (company_id, canonical_name, n_spellings, n_complaints) and alias (alias_raw, company_id, method).
+
+    A spelling belongs to the slug of its normalised name unless a person said otherwise. A company's canonical name is that of its most frequent spelling (ties: the smaller).
+    """
+    n = raw.where("company_raw is not null").groupBy(F.col("company_raw").alias("alias_raw")).agg(F.count_distinct("complaint_id").alias("n"))
+    named = n.withColumn("normal", T.company_normal(F.col("alias_raw"))).withColumn("own", T.slug(F.col("normal")))
+    said = manual.groupBy("alias_raw").agg(F.min("company_id").alias("said")) if manual is not None else raw.sparkSession.createDataFrame([], "alias_raw string, said string")
+    alias = named.join(said, "alias_raw", "left").select("alias_raw", F.coalesce("said", "own").alias("company_id"), F.when(F.col("said").isNotNull(), "manual").otherwise("exact").alias("method"), "normal", "n")
+    canonical = alias.groupBy("company_id").agg(F.min_by("normal", F.struct(-F.col("n"), "alias_raw")).alias("canonical_name"), F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_complaints"))
+    return canonical, alias.select("alias_raw", "company_id", "method")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborlight.session import cut
+
 
 def once(df: DataFrame) -> DataFrame:
     """Rows delivered again unchanged count once; the shuffle is by whole rows, so no key value is hot. repeats() does without it where states are all that is wanted."""
@@ -19,11 +21,12 @@ def once(df: DataFrame) -> DataFrame:
 def repeats(df: DataFrame, extra: str = "__extra") -> DataFrame:
     """The rows that occur more than once, once each, plus how often beyond the first.
 
-    Only 64-bit hashes of the rows are shuffled; rows whose hash occurs again are then compared whole, so equal hashes of different rows do no harm.
+    Only 64-bit hashes of the rows are shuffled; rows whose hash occurs again are then compared whole, so equal hashes of different rows do no harm. The hashes
+    that occur again are written first: with their size known, few of them are broadcast and the rows stay where they are; many are joined by shuffling.
     """
     cols = [F.col(f"`{c}`") for c in df.columns]
     hashed = df.select(*cols, F.xxhash64(*cols).alias("__h"))
-    again = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("__h")
+    again = cut(df.select(F.xxhash64(*cols).alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("__h"))
     met = hashed.join(again, "__h", "left_semi").drop("__h").groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
     return met.where("__c > 1").select(*df.columns, (F.col("__c") - 1).alias(extra))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 import json
-import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from harborlight.sources import files
 
 
 class SilentSuccess(RuntimeError):
@@ -24,17 +26,13 @@ class Run:
 
 
 class Registry:
-    """One JSON file a state change; the newest of a run counts, so a failure outlives whatever it interrupted."""
+    """One JSON file a state change; the newest of a run counts, so a failure outlives whatever it interrupted. The folder is on the session's file system."""
 
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
     def _write(self, record: dict) -> None:
-        path = self.folder / f"{record['at'].replace(':', '')}-{uuid.uuid4().hex}.json"
-        part = path.with_suffix(".partial")
-        part.write_text(json.dumps(record, sort_keys=True))
-        os.replace(part, path)
+        files.write_text(self.spark, f"{self.folder}/{record['at'].replace(':', '')}-{uuid.uuid4().hex}.json", json.dumps(record, sort_keys=True))
 
     @contextmanager
     def run(self, stage: str, fingerprint: str, **params) -> Iterator[Run]:
@@ -51,11 +49,15 @@ class Registry:
             raise
         self._write(base | {"at": now(), "status": "ok", "rows": run.rows})
 
-    def latest(self, stage: str, **params) -> dict | None:
-        """The newest successful run of a stage with these params; others never stand in for it."""
+    def records(self) -> list[dict]:
+        """The newest state of each run, the latest run first; runs are few, and this is for people and lookups."""
         newest: dict[str, dict] = {}
-        for p in sorted(self.folder.glob("*.json")):
-            r = json.loads(p.read_text())
+        for path in files.names(self.spark, self.folder, ".json"):
+            r = json.loads(files.read_text(self.spark, path))
             newest[r["run_id"]] = r
-        good = [r for r in newest.values() if r["stage"] == stage and r["status"] == "ok" and all(r["params"].get(k) == v for k, v in params.items())]
-        return max(good, key=lambda r: r["run_id"], default=None)
+        return sorted(newest.values(), key=lambda r: r["run_id"], reverse=True)
+
+    def latest(self, stage: str, **params) -> dict | None:
+        """The newest successful run of a stage with these params; others never stand in for it."""
+        good = [r for r in self.records() if r["stage"] == stage and r["status"] == "ok" and all(r["params"].get(k) == v for k, v in params.items())]
+        return good[0] if good else None

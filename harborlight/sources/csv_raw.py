@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.functions import text as T
+from harborlight.sources import files
 
 # Header of the public export, and the column each becomes.
 COLUMNS = {
@@ -40,22 +41,21 @@ def typed(raw: DataFrame) -> DataFrame:
 def load(raw: DataFrame, path: str, validate=None) -> DataFrame:
     """Write the typed rows beside `path`, validate what was written, then put it in place: a failed check leaves the old rows."""
     spark = raw.sparkSession
+    files.recover(spark, path)
     staged = f"{path.rstrip('/')}.staged"
     typed(raw).write.mode("overwrite").parquet(staged)
     df = spark.read.parquet(staged)
     if validate:
         validate(df)
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    src, dst = fs_path(staged), fs_path(path)
-    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(dst, True)
-    fs.rename(src, dst)
+    files.swap(spark, staged, path)
     return spark.read.parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with rows of new put in or over it, by key."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    """old with rows of new put in or over it, by key. A key given twice in new counts once: the greatest row of its other columns."""
+    rest = [c for c in new.columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else new.distinct()
+    return old.join(once.select(*keys), keys, "left_anti").unionByName(once.select(*new.columns))
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:

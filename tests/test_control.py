@@ -49,8 +49,8 @@ def test_listing(spark):
     assert spark.createDataFrame([("<p>short</p><p>" + "long " * 20 + "</p>",)], "h string").select(html_listing.paragraphs(F.col("h")).alias("p")).first().p == ("long " * 20).strip()
 
 
-def test_registry_and_ids(tmp_path):
-    r = Registry(str(tmp_path))
+def test_registry_and_ids(spark, tmp_path):
+    r = Registry(spark, str(tmp_path))
     with r.run("dedup", "f", cutoff=None) as run:
         run.finish(3)
     with pytest.raises(SilentSuccess), r.run("dedup", "f"):

@@ -88,6 +88,11 @@ def _class(chars: list[int]) -> str:
 _SCANNED = [*range(0, 0xD800), *range(0xF900, 0x40000), *range(0xE0000, 0xF0000)]
 _UNSTABLE_CLASS = _class([i for i in _SCANNED if _unstable(chr(i))])
 SEGMENT = re.compile(f"[^{_UNSTABLE_CLASS}]?[{_UNSTABLE_CLASS}]+")
+# the same for texts of the basic plane, in which a character is looked up in a table instead of among ranges
+_BASIC_CLASS = _class([i for i in _SCANNED if i < 0x10000 and _unstable(chr(i))])
+_BASIC_SEGMENT = re.compile(f"[^{_BASIC_CLASS}]?[{_BASIC_CLASS}]+")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+_IMITATION = re.compile(f"[{''.join(IMITATIONS)}]")
 IMITATION_WORD = re.compile(f"[^\\W\\d_]*[{''.join(IMITATIONS)}][^\\W\\d_]*")
 MARK = re.compile(f"[{_class([i for i in _SCANNED if unicodedata.combining(chr(i))])}]")
 _TO_LATIN = str.maketrans(IMITATIONS)
@@ -121,12 +126,16 @@ def _latin_word(word: str) -> str:
     return word.translate(_TO_LATIN) if latin else word
 
 
+def _segments(text: str) -> re.Pattern:
+    return SEGMENT if _BEYOND.search(text) else _BASIC_SEGMENT
+
+
 def consistent(text: str | None) -> str | None:
     """The consistent form of text; None stays None, and the result is a fixed point."""
     if text is None or _stable(text):
         return text
-    out = SEGMENT.sub(lambda m: _canonical(m.group()), text)
-    latin = IMITATION_WORD.sub(lambda m: _latin_word(m.group()), out)
+    out = _segments(text).sub(lambda m: _canonical(m.group()), text)
+    latin = IMITATION_WORD.sub(lambda m: _latin_word(m.group()), out) if _IMITATION.search(out) else out
     # a mark that fitted no imitation may fit the letter that took its place
     return consistent(latin) if latin != out and MARK.search(latin) else latin
 
@@ -138,7 +147,7 @@ def consistent_with_offsets(text: str) -> tuple[str, list[int] | None]:
     parts: list[str] = []
     at: list[int] = []
     last = 0
-    for m in SEGMENT.finditer(text):
+    for m in _segments(text).finditer(text):
         a, b = m.span()
         parts.append(text[last:a])
         at.extend(range(last, a))
@@ -149,7 +158,7 @@ def consistent_with_offsets(text: str) -> tuple[str, list[int] | None]:
     parts.append(text[last:])
     at.extend(range(last, len(text)))
     out = "".join(parts)
-    latin = IMITATION_WORD.sub(lambda m: _latin_word(m.group()), out)  # keeps the length
+    latin = IMITATION_WORD.sub(lambda m: _latin_word(m.group()), out) if _IMITATION.search(out) else out  # keeps the length
     if latin != out and MARK.search(latin):
         whole, more = consistent_with_offsets(latin)
         return whole, at if more is None else [at[i] for i in more]

@@ -8,10 +8,10 @@ signature cost about n + m log m instead of n * m. The arrivals of all shingles
 
 Weights are 1 (the similarity is that of sets) or a shingle's number of occurrences (probability Jaccard of the counts).
 
-Plan: fold text -> one row per distinct folded text (exact copies never meet in a band) -> signatures and a 256-byte
+Plan: fold text -> one row per distinct folded text (exact copies never meet in a band) -> signatures and a 128-byte
 count of shingles by hash -> one 64-bit key per band -> self-join on the key (AQE splits hot keys) -> distinct candidate
 pairs -> length bound in the JVM -> upper bound from the counts, so that only pairs that may be similar get whole texts
--> exact similarity on whole texts -> copies joined back.
+(pairs of strangers that meet by chance grow with the square of the corpus) -> exact similarity on whole texts -> copies joined back.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 #: Buckets of the shingle counts, a byte each.
-BUCKETS = 256
+BUCKETS = 128
 
 
 def _sketch(hashes: np.ndarray) -> bytes:
@@ -201,10 +201,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
 
     cut = cut or default_cut
     texts = cut(folded_texts(df, key, text))
-    first = texts.groupBy("digest").agg(F.min("id").alias("rep"))
-    # one row a digest on one side, so a group of copies of any size is split over tasks on the other
-    members = cut(texts.select("id", "digest").join(first, "digest").select("id", "rep").distinct())
-    distinct = cut(texts.join(first.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select(F.col("id").alias("rep"), "folded").distinct())
+    # copies meet in partial aggregates; one row a digest on one side, so a group of copies of any size is split over tasks on the other
+    first = texts.groupBy("digest").agg(F.min(F.struct("id", "folded")).alias("m"))
+    distinct = cut(first.select("digest", F.col("m.id").alias("rep"), F.col("m.folded").alias("folded")))
+    members = cut(texts.select("id", "digest").join(distinct.select("digest", "rep"), "digest").select("id", "rep").distinct())
     drop_cut(texts)
     signed = cut(distinct.mapInPandas(_sign(bands, rows, k, counted), "rep long, n_pieces int, sketch binary, keys array<long>"))
     band = signed.select("rep", "n_pieces", F.explode("keys").alias("key"))
@@ -220,7 +220,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
         near = pairs.select("rep_a", "rep_b").distinct()
     ta = distinct.select(F.col("rep").alias("rep_a"), F.col("folded").alias("text_a"))
     tb = distinct.select(F.col("rep").alias("rep_b"), F.col("folded").alias("text_b"))
-    both = near.join(tb, "rep_b").join(ta, "rep_a")
+    # written, so that its size is known: few pairs are sent to the texts, many meet them by shuffling
+    both = cut(near).join(tb, "rep_b").join(ta, "rep_a")
     links = both.mapInPandas(_exact(k, threshold, counted), "rep_a long, rep_b long, similarity double")
     return members, links
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from harborlight.plans.oracle import BM, CANON, CENT, CROSS, FEATURES, GRAMS, LABEL, MEMBERS, OUT, UNITS, hhi, metrics, toks
+from harborlight.plans.oracle import BH, BM, CANON, CELLS, CENT, CROSS, FEATURES, GRAMS, LABEL, MEMBERS, OUT, PRIOR, SUPPORT, UNITS, hhi, metrics, toks
+from harborlight.plans.oracle import DENSE as DENSE_SERIES
 
 CPL = CROSS + """,
 cpl AS (SELECT DISTINCT r.complaint_id, r.date_received, CAST(date_trunc('month', r.date_received) AS DATE) AS period_month, a.company_id, w.family AS product_family, w.product_std, r.issue AS issue_std, r.sub_issue AS sub_issue_std,
@@ -74,6 +75,42 @@ WORDS = "string_split(upper(trim(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')))
 WILSON = """round(greatest(0, (p + z*z/(2*n) - z * sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n)), 6) AS low, round(least(1, (p + z*z/(2*n) + z * sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n)), 6) AS high"""
 LINE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
+
+def star(nodes: str, links: str, name: str) -> str:
+    """(id, seed) of star clusters as a recursive query: rounds in which an undecided node that comes before its undecided neighbours is a seed."""
+    return f"""{name}_b AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM {links} UNION ALL SELECT b, a FROM {links}) WHERE a <> b AND a IN (SELECT id FROM {nodes}) AND b IN (SELECT id FROM {nodes})),
+{name}_n AS (SELECT id, coalesce(deg, 0) AS deg FROM (SELECT DISTINCT id FROM {nodes}) LEFT JOIN (SELECT a AS id, count(*) AS deg FROM {name}_b GROUP BY a) USING (id)),
+{name}_s(r, id, deg, open, seed) AS (SELECT 0, id, deg, deg > 0, deg = 0 FROM {name}_n
+ UNION ALL (WITH cur AS (SELECT * FROM {name}_s), o AS (SELECT * FROM cur WHERE open),
+  rv AS (SELECT x.a AS id, min((-y.deg, y.id)) AS best FROM {name}_b x JOIN o y ON y.id = x.b GROUP BY x.a), sd AS (SELECT o.id FROM o LEFT JOIN rv USING (id) WHERE best IS NULL OR (-o.deg, o.id) < best),
+  tk AS (SELECT DISTINCT x.a AS id FROM {name}_b x JOIN sd ON sd.id = x.b)
+  SELECT r + 1, id, deg, open AND id NOT IN (SELECT id FROM sd) AND id NOT IN (SELECT id FROM tk), seed OR id IN (SELECT id FROM sd) FROM cur WHERE (SELECT count(*) FROM o) > 0)),
+{name}_e AS (SELECT id, deg, seed FROM {name}_s WHERE r = (SELECT max(r) FROM {name}_s)),
+{name} AS (SELECT e.id, CASE WHEN e.seed THEN e.id ELSE n.s END AS seed FROM {name}_e e LEFT JOIN (SELECT x.a AS id, arg_min(y.id, (-y.deg, y.id)) AS s FROM {name}_b x JOIN {name}_e y ON y.id = x.b AND y.seed GROUP BY x.a) n USING (id))"""
+
+
+STRONG = "lk0 AS (SELECT complaint_id_a AS a, complaint_id_b AS b FROM dup_pairs WHERE similarity >= 0.88 AND complaint_id_b IS NOT NULL), nd AS (SELECT a AS id FROM lk0 UNION SELECT b FROM lk0), " + star("nd", "lk0", "sg")
+AT = ST + ", " + LK + """, tx AS (SELECT id, h, day FROM st WHERE day < DATE '2022-01-01'), rp AS (SELECT h, min(id) AS rep FROM tx WHERE h IS NOT NULL GROUP BY h), rn AS (SELECT rep AS id FROM rp), ml AS (SELECT a, b FROM lk WHERE method = 'minhash'), """ + star("rn", "ml", "sg") + """,
+ga AS (SELECT tx.id, tx.day, 'g' || sg.seed AS group_id FROM tx JOIN rp USING (h) JOIN sg ON sg.id = rp.rep)"""
+
+
+def quantile_steps(n: int = 7) -> str:
+    """Newton steps to the 5th percentile x of Gamma(s, 1), from the Wilson-Hilferty start, with the incomplete gamma function as its series."""
+    out = "g0 AS (SELECT *, alpha + a AS s, greatest((alpha + a) * pow(1 - 1 / (9 * (alpha + a)) - 1.6448536269514722 / (3 * sqrt(alpha + a)), 3), 1e-3) AS x FROM qq JOIN pr USING (family))"
+    for i in range(n):
+        p = "exp(s * ln(x) - x - lgamma(s + 1)) * list_sum(list_transform(range(0, 400), lambda k: exp(k * ln(x) - lgamma(s + k + 1) + lgamma(s + 1))))"
+        out += f", g{i + 1} AS (SELECT * REPLACE (greatest(x - ({p} - 0.05) / exp((s - 1) * ln(x) - x - lgamma(s)), x / 10) AS x) FROM g{i})"
+    return out + f", sc AS (SELECT *, x / (beta + expected) AS eb05 FROM g{n})"
+
+
+SCOPES = DENSE_SERIES + BH[len(UNITS):] + PRIOR + ", " + quantile_steps() + f""", sp AS {SUPPORT},
+sr AS (SELECT cluster_id, company_id, list(share ORDER BY period_month) AS v, list(period_month ORDER BY period_month) AS m FROM dn GROUP BY ALL HAVING sum(n) >= 15), ev AS (SELECT *, unnest(range(13, len(v) + 1)) AS t FROM sr WHERE len(v) > 13),
+ew AS (SELECT cluster_id, company_id, m[t] AS period_month, list_sum(list_transform(range(0, t - 1), lambda k: 0.2 * pow(0.8, k) * v[t - k])) + pow(0.8, t - 1) * v[1] AS e, list_avg(v[t - 12:t - 1]) AS mu, list_stddev_samp(v[t - 12:t - 1]) AS sd FROM ev),
+al AS (SELECT cluster_id, company_id, min(period_month) AS change_month FROM ew WHERE sd > 1e-12 AND e - mu > 3 * sd * sqrt(0.2 / 1.8) GROUP BY ALL),
+gs AS (SELECT cluster_id, company_id, sc.eb05, sc.q, (al.change_month IS NOT NULL)::INT AS changed, al.change_month, coalesce(complaints, 0) AS n_supporting, coalesce(groups, 0) AS n_groups FROM sc FULL JOIN al USING (cluster_id, company_id) LEFT JOIN sp USING (cluster_id, company_id)),
+cl AS (SELECT DISTINCT cluster_id, length(cluster_id) % 10 AS label FROM e WHERE cluster_id IS NOT NULL), ch AS (SELECT cluster AS label, avg(list_dot_product(v, centroid)) AS coherence FROM pt JOIN ce ON pt.label = ce.cluster GROUP BY cluster),
+cc AS (SELECT cluster_id, coherence FROM cl JOIN ch USING (label))"""
+
 SQL: dict[str, str] = {
     "complaints_build": f"WITH {CPL} SELECT * FROM cpl WHERE date_received >= DATE '2017-01-01' AND complaint_id IS NOT NULL",
     "narratives_in_window": "SELECT complaint_id, char_len FROM narratives WHERE trim(text_redacted) <> '' AND complaint_id IN (SELECT complaint_id FROM complaints_raw WHERE date_received >= DATE '2017-01-01' AND date_received < DATE '2020-01-01')",
@@ -151,6 +188,15 @@ SQL: dict[str, str] = {
  SELECT item_id, CASE WHEN b <> '' AND NOT regexp_matches(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '[\\p{Cc}\\p{Cf}\\p{Cs}\\p{Co}]') THEN sha256(b) END AS hash FROM q""",
     "judged_pairs": f"WITH {LK} SELECT complaint_id_a || ':' || complaint_id_b AS pair, (complaint_id_a || ':' || complaint_id_b) IN (SELECT a || ':' || b FROM lk) AS judged FROM cluster_review_pairs",
     "ranked_narratives": f"WITH {ST} SELECT id, family, row_number() OVER (PARTITION BY family ORDER BY char_len DESC NULLS LAST, id) AS rank FROM st",
+    "star_groups": f"WITH RECURSIVE {STRONG} SELECT id, seed FROM sg",
+    "star_merge_audit": f"""WITH RECURSIVE {STRONG}, en AS (SELECT a, b FROM lk0 UNION SELECT b, a FROM lk0) SELECT sg.seed, count(*) AS size, count(*) FILTER (WHERE sg.id <> sg.seed AND (sg.id, sg.seed) IN (SELECT (a, b) FROM en)) AS direct FROM sg GROUP BY sg.seed""",
+    "merge_audit_pairs": f"""WITH RECURSIVE {STRONG}, g AS (SELECT 'g' || seed AS group_id, id, row_number() OVER (PARTITION BY seed ORDER BY sha256('audit:' || id), id) AS rn, count(*) OVER (PARTITION BY seed) AS m FROM sg),
+ dr AS (SELECT group_id, min(id) AS a, max(id) AS b FROM g WHERE rn <= 2 AND m >= 10 GROUP BY group_id ORDER BY sha256('audit:' || group_id), group_id LIMIT 300)
+ SELECT group_id, a, b, (a, b) IN (SELECT (least(a, b), greatest(a, b)) FROM lk0) AS direct FROM dr""",
+    "group_assignment": f"WITH RECURSIVE {AT} SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, row_number() OVER (PARTITION BY group_id ORDER BY day, id) = 1 AS is_representative FROM ga",
+    "eb05": f"WITH {CELLS.replace('tt AS (', 'qq AS (')}{PRIOR.replace('FROM tt', 'FROM qq')}, {quantile_steps()} SELECT family, company_id, cluster_id, round(eb05, 6) AS eb05 FROM sc",
+    "smoothed_scopes": f"""WITH {CENT}, {SCOPES} SELECT cluster_id, company_id, round(eb05, 6) AS eb05, round(q, 6) AS q, changed, change_month, n_supporting, n_groups, round(coherence, 6) AS coherence
+ FROM gs JOIN cc USING (cluster_id) WHERE coherence >= (SELECT median(coherence) FROM cc) AND n_groups >= 15 AND (coalesce(q <= 0.05, false) OR changed = 1)""",
     "cluster_agreement": f"""WITH {CENT}, ab AS (SELECT arg_max(cluster, (list_dot_product(v, centroid), -cluster)) AS x, any_value(label) AS y FROM pt CROSS JOIN ce GROUP BY id), {AGREE} SELECT round(ari, 6) AS ari, round(nmi, 6) AS nmi FROM ag""",
 }
 

@@ -286,7 +286,7 @@ def change_alarms(spark, d):
     return changepoint.detect(signals.series_arrays(p, lo, hi), lo).withColumn("statistic", r6("statistic"))
 
 
-def _signals(spark, d):
+def _signals(spark, d, methods=("ewma", "pelt")):
     """All signal rows: scored pairs and change points of every series, with support."""
     e = cut(_expanded(spark, d))
     p = cut(signals.panel(e))
@@ -294,7 +294,7 @@ def _signals(spark, d):
     tests = signals.ror(signals.prr(signals.testable(signals.contingency(e))))
     cells = signals.with_expected(signals.bh(tests))
     scored = signals.eb05(signals.shrink(cells, signals.gamma_prior(cells)))
-    changes = changepoint.detect(signals.series_arrays(p, lo, hi), lo)
+    changes = changepoint.detect(signals.series_arrays(p, lo, hi), lo, methods=methods)
     as_of = str(e.agg(F.max("day")).first()[0])
     return signals.signal_rows(scored, changes, signals.support(e), hi, as_of)
 
@@ -316,11 +316,11 @@ def _coherent(spark, d):
     return clusters.withColumn("label", F.length("cluster_id") % 10).join(coherence, "label").select("cluster_id", "coherence")
 
 
-def _scopes(spark, d):
+def _scopes(spark, d, methods=("ewma", "pelt")):
     """Alert scopes and the clusters' coherence; the test vectors are random, so the floor is their clusters' median coherence, not signals.MIN_COHERENCE."""
     c = cut(_coherent(spark, d))
     floor = c.agg(F.percentile("coherence", 0.5)).first()[0] or 0.0
-    return signals.alert_scopes(_signals(spark, d), c, floor), c
+    return signals.alert_scopes(_signals(spark, d, methods), c, floor), c
 
 
 def alert_scopes(spark, d):
@@ -328,6 +328,12 @@ def alert_scopes(spark, d):
     return a.select("cluster_id", "company_id", r6("eb05").alias("eb05"), r6("q").alias("q"), "changed", "change_month", "n_supporting", "n_groups", r6("coherence").alias("coherence"))
 
 
+def smoothed_scopes(spark, d):
+    """As alert_scopes, with the alarms of the smoothed share as the only change points: what SQL can follow."""
+    a = signals.in_order(_scopes(spark, d, ("ewma",))[0])
+    return a.select("cluster_id", "company_id", r6("eb05").alias("eb05"), r6("q").alias("q"), "changed", "change_month", "n_supporting", "n_groups", r6("coherence").alias("coherence"))
+
+
 def alert_tracks(spark, d):
     """Alerts in novel and known clusters; a part type counts as novel here if its cluster is among the more coherent quarter."""
     scopes, c = _scopes(spark, d)
@@ -546,7 +552,7 @@ QUERIES = (
     p3_company_totals, p3_product_months, p3_products, load_typed_projection, company_canonical, company_sizes, crosswalk_family, uncovered_labels, text_normalize_hash, pii_redact_counts, markdown_strip, window_split,
     privacy_ngram_overlap, redaction_histogram, monthly_family_volume, taxonomy_vocabulary, product_month_gaps, exact_dup_pairs, exact_representatives, minhash_verified, star_groups, dup_group_representative,
     campaign_features, family_baseline_hhi, campaign_flags, expanded_population, panel, contingency_2x2, prr_ci, ror_z, bh_qvalues, eb_prior, ebgm, eb05, support_grouping_sets, densified_series, trailing_baseline,
-    ewma_alarms, change_alarms, signal_rows, signal_support, alert_scopes, alert_tracks, false_alert_rate, shuffle_control, boilerplate_share, length_auc, asof_cutoff, backtest_outcomes, backtest_summary, unit_norms, knn_exact, centroid_assign, coherence_medoid, related_clusters, cluster_agreement, novelty_scores,
+    ewma_alarms, change_alarms, signal_rows, signal_support, alert_scopes, smoothed_scopes, alert_tracks, false_alert_rate, shuffle_control, boilerplate_share, length_auc, asof_cutoff, backtest_outcomes, backtest_summary, unit_norms, knn_exact, centroid_assign, coherence_medoid, related_clusters, cluster_agreement, novelty_scores,
     ablation_auc, tokenize, bm25_rank, ir_metrics, wilson_rates, length_percentiles, precision_recall, baseline_units_b0, baseline_units_b1, near_miss_stride_sample, hash_sample,
     event_values, pair_tier_report,
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harborlight.plans.oracle import BH, BM, CANON, CELLS, CENT, CROSS, FEATURES, GRAMS, LABEL, MEMBERS, OUT, PRIOR, SUPPORT, UNITS, hhi, metrics, toks
+from harborlight.plans.oracle import BH, BM, CANON, CELLS, CENT, CROSS, FEATURES, GRAMS, LABEL, MEMBERS, OUT, PRIOR, SUPPORT, UNITS, hhi, metrics, norm, toks
 from harborlight.plans.oracle import DENSE as DENSE_SERIES
 
 CPL = CROSS + """,
@@ -89,6 +89,40 @@ def star(nodes: str, links: str, name: str) -> str:
 {name} AS (SELECT e.id, CASE WHEN e.seed THEN e.id ELSE n.s END AS seed FROM {name}_e e LEFT JOIN (SELECT x.a AS id, arg_min(y.id, (-y.deg, y.id)) AS s FROM {name}_b x JOIN {name}_e y ON y.id = x.b AND y.seed GROUP BY x.a) n USING (id))"""
 
 
+
+def _edge(before: str, body: str, after: str | None) -> tuple[str, str]:
+    """A pattern with its neighbours as groups instead of looking around, and what to put in: SQL's patterns can't look."""
+    return f"(^|{before})(?:{body})" + (f"($|{after})" if after else ""), "\\1{}" + ("\\2" if after else "")
+
+
+def redaction() -> str:
+    """CTEs rd0 ... rd: (complaint_id, t, n_email ... n_account) of narratives, a pattern a step, each run twice where neighbours may share a character."""
+    street = "|".join(sorted({w for t in "Street St Avenue Ave Road Rd Boulevard Blvd Drive Dr Lane Ln Court Ct Circle Cir Way Place Pl Terrace Ter Parkway Pkwy Highway Hwy Suite Ste Apt Apartment".split() for w in (t, t.upper())}, key=lambda t: (-len(t), t)))
+    card = "(^|[^\\d-])((?:\\d{4}[ -]?){3}\\d{1,4})"
+    digit = "substr(reverse(regexp_replace(r, '[ -]', '', 'g')), CAST(i AS INTEGER), 1)::INT"
+    luhn = f"list_sum(list_transform(range(1, length(regexp_replace(r, '[ -]', '', 'g')) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END)) % 10 = 0"
+    steps = [
+        ("email", ("[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}", "{}"), 1), ("ssn", _edge("\\D", "\\d{3}[- \u00a0]\\d{2}[- \u00a0]\\d{4}", "\\D"), 2), ("card", None, 1),
+        ("phone", _edge("[^\\d\\-.]", "(?:\\+?1[ .\\-])?(?:\\(\\d{3}\\)\\s?|\\d{3}[ .\\-])\\d{3}[ .\\-]\\d{4}", "[^\\d\\-]"), 2),
+        ("address", _edge("\\D", f"\\d{{1,6}}\\s+(?:[A-Za-z][A-Za-z.''\\-]*\\s+){{1,4}}(?:{street})\\b\\.?", None), 1),
+        ("name", ("\\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\\.?\\s+[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)?", "{}"), 1), ("account", _edge("[^\\d\\-]", "\\d{8,}", "[^\\d\\-]"), 2),
+    ]
+    out = ["rd0 AS (SELECT complaint_id, text_redacted AS t FROM narratives WHERE trim(text_redacted) <> '')"]
+    for k, (name, pattern, times) in enumerate(steps):
+        if name == "card":
+            out.append(f"rc{k} AS (SELECT *, list_filter(regexp_extract_all(t, '{card}(?:$|[^\\d-])', 2), lambda r: {luhn}) AS good FROM rd{k})")
+            out.append(f"rd{k + 1} AS (SELECT * EXCLUDE (good) REPLACE (list_reduce(list_prepend(t, good), lambda acc, r: replace(acc, r, '[CARD]')) AS t), len(good) AS n_card FROM rc{k})")
+            continue
+        mark, new = f"[{name.upper()}]", "t"
+        for _ in range(times):
+            new = f"regexp_replace({new}, '{pattern[0]}', '{pattern[1].format(mark)}', 'g')"
+        out.append(f"rc{k} AS (SELECT *, {new} AS u FROM rd{k})")
+        count = lambda c, m=mark: f"(length({c}) - length(replace({c}, '{m}', ''))) // {len(m)}"
+        out.append(f"rd{k + 1} AS (SELECT * EXCLUDE (u) REPLACE (u AS t), {count('u')} - {count('t')} AS n_{name} FROM rc{k})")
+    return ", ".join(out) + f", rd AS (SELECT * FROM rd{len(steps)})"
+
+
+NAMES = ("email", "ssn", "card", "phone", "address", "name", "account")
 STRONG = "lk0 AS (SELECT complaint_id_a AS a, complaint_id_b AS b FROM dup_pairs WHERE similarity >= 0.88 AND complaint_id_b IS NOT NULL), nd AS (SELECT a AS id FROM lk0 UNION SELECT b FROM lk0), " + star("nd", "lk0", "sg")
 AT = ST + ", " + LK + """, tx AS (SELECT id, h, day FROM st WHERE day < DATE '2022-01-01'), rp AS (SELECT h, min(id) AS rep FROM tx WHERE h IS NOT NULL GROUP BY h), rn AS (SELECT rep AS id FROM rp), ml AS (SELECT a, b FROM lk WHERE method = 'minhash'), """ + star("rn", "ml", "sg") + """,
 ga AS (SELECT tx.id, tx.day, 'g' || sg.seed AS group_id FROM tx JOIN rp USING (h) JOIN sg ON sg.id = rp.rep)"""
@@ -188,6 +222,9 @@ SQL: dict[str, str] = {
  SELECT item_id, CASE WHEN b <> '' AND NOT regexp_matches(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '[\\p{Cc}\\p{Cf}\\p{Cs}\\p{Co}]') THEN sha256(b) END AS hash FROM q""",
     "judged_pairs": f"WITH {LK} SELECT complaint_id_a || ':' || complaint_id_b AS pair, (complaint_id_a || ':' || complaint_id_b) IN (SELECT a || ':' || b FROM lk) AS judged FROM cluster_review_pairs",
     "ranked_narratives": f"WITH {ST} SELECT id, family, row_number() OVER (PARTITION BY family ORDER BY char_len DESC NULLS LAST, id) AS rank FROM st",
+    "narratives_build": f"WITH {redaction()} SELECT complaint_id, sha256({norm('t')}) AS text_hash, length(t) AS char_len, {' + '.join('n_' + n for n in NAMES)} AS redaction_count FROM rd",
+    "redaction_stats": f"WITH {redaction()} " + " UNION ALL ".join(f"SELECT '{n}' AS pattern, sum(n_{n}) AS n_hits, count(*) FILTER (WHERE {' + '.join('n_' + m for m in NAMES)} > 0) AS n_documents FROM rd" for n in NAMES),
+    "pii_redact_counts": f"WITH {redaction()} SELECT {', '.join(f'sum(n_{n}) AS n_{n}' for n in NAMES)}, count(*) FILTER (WHERE t <> text_redacted) AS n_changed FROM rd JOIN narratives USING (complaint_id)",
     "star_groups": f"WITH RECURSIVE {STRONG} SELECT id, seed FROM sg",
     "star_merge_audit": f"""WITH RECURSIVE {STRONG}, en AS (SELECT a, b FROM lk0 UNION SELECT b, a FROM lk0) SELECT sg.seed, count(*) AS size, count(*) FILTER (WHERE sg.id <> sg.seed AND (sg.id, sg.seed) IN (SELECT (a, b) FROM en)) AS direct FROM sg GROUP BY sg.seed""",
     "merge_audit_pairs": f"""WITH RECURSIVE {STRONG}, g AS (SELECT 'g' || seed AS group_id, id, row_number() OVER (PARTITION BY seed ORDER BY sha256('audit:' || id), id) AS rn, count(*) OVER (PARTITION BY seed) AS m FROM sg),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -58,11 +59,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder in the checkpoint folder; it is deleted when the driver's Python ends, unless the driver is lost."""
+    app = spark.sparkContext.applicationId
+    path = f"{checkpoint_dir(spark).rstrip('/')}/harborlight-{app}"
+    if app not in _swept:
+        _swept.add(app)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(_sweep, jvm, conf, path)
+    return path
+
+
+_swept: set[str] = set()
+
+
+def _sweep(jvm, conf, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone by now, and then so is the chance to tidy up
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read back: no lineage, so it survives lost executors, and
     a scan with real sizes, so that plans over many rounds don't multiply up estimates."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/harborlight-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path

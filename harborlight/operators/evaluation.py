@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight.operators import ranges
+from harborlight.session import cut
 
 
 def asof_cutoff(actions: DataFrame, cutoffs: list[str], day: str) -> DataFrame:
@@ -65,6 +66,7 @@ def precision_recall(scored: DataFrame) -> DataFrame:
 
 def shuffled(groups: DataFrame, family: str, key: str, value: str, seed: str) -> DataFrame:
     """groups with their values permuted within the family: the negative control. Positions in two orders are joined, not sampled; a family of any size is numbered by ranges."""
+    groups = cut(groups.select(*groups.columns))
     a = ranges.ranked(groups, [family], [key], "i").drop("__range")
     b = groups.select(family, F.col(value).alias(f"shuffled_{value}"), F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256).alias("__h"), F.col(key).alias("__k"))
     b = ranges.ranked(b, [family], ["__h", "__k"], "i").select(family, "i", f"shuffled_{value}")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight.operators import ranges
+from harborlight.session import cut
 
 ALL = "__ALL__"
 MIN_A, ALPHA, MIN_GROUPS, MIN_COHERENCE = 5, 0.05, 15, 0.45
@@ -49,7 +50,7 @@ def contingency(expanded: DataFrame) -> DataFrame:
     """(family, company_id, cluster_id, a, b, c, d) over distinct (family, group, company) units; a + b + c + d is the family's units."""
     cluster = F.when(F.col("family") == F.col("cluster_family"), F.col("cluster_id"))
     units = expanded.where("company_id is not null").select("family", "group_id", "company_id", cluster.alias("cluster_id")).distinct()
-    cell = units.groupBy("family", "company_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    cell = cut(units.groupBy("family", "company_id", "cluster_id").agg(F.count(F.lit(1)).alias("n")))  # all margins come from it
     by_company = cell.groupBy("family", "company_id").agg(F.sum("n").alias("nc"))
     by_cluster = cell.where("cluster_id is not null").groupBy("family", "cluster_id").agg(F.sum("n").alias("nk"))
     by_family = cell.groupBy("family").agg(F.sum("n").alias("nf"))
@@ -111,8 +112,8 @@ def testable(cells: DataFrame, min_a: int = MIN_A) -> DataFrame:
 
 def bh(tests: DataFrame, p: str = "p", family: str = "family", ties: tuple[str, ...] = ("company_id", "cluster_id")) -> DataFrame:
     """tests plus q: Benjamini-Hochberg step-up within a family, of any size: ranks come from ranges, and minima of later ranges are carried over."""
-    n = tests.groupBy(F.col(family).alias("__f")).agg(F.count(F.lit(1)).alias("__n"))
-    r = ranges.ranked(tests, [family], [p, *ties], "__r")
+    r = cut(ranges.ranked(cut(tests), [family], [p, *ties], "__r"))  # ranges are drawn from the tests before they are filled
+    n = r.groupBy(F.col(family).alias("__f")).agg(F.count(F.lit(1)).alias("__n"))
     raw = r.join(n, F.col(family).eqNullSafe(F.col("__f"))).withColumn("__raw", F.col(p) * F.col("__n") / F.col("__r")).drop("__f", "__n")
     lows = raw.groupBy(F.col(family).alias("__f"), F.col("__range").alias("__g")).agg(F.min("__raw").alias("__low"))
     after = Window.partitionBy("__f").orderBy(F.desc("__g")).rowsBetween(Window.unboundedPreceding, -1)

@@ -208,12 +208,17 @@ def _expanded(spark, d):
     return e.withColumn("cluster_id", F.concat_ws(":", "cluster_family", "cluster_id"))
 
 
+def _written(spark, d):
+    """The population written once: panels, cells and support each read it several times."""
+    return cut(_expanded(spark, d))
+
+
 def expanded_population(spark, d):
     return _expanded(spark, d).groupBy("family", "cluster_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("group_id").alias("n_groups"))
 
 
 def panel(spark, d):
-    return signals.panel(_expanded(spark, d)).select("cluster_id", "company_id", "period_month", "n", "denom", r6("share").alias("share"))
+    return signals.panel(_written(spark, d)).select("cluster_id", "company_id", "period_month", "n", "denom", r6("share").alias("share"))
 
 
 def contingency_2x2(spark, d):
@@ -260,7 +265,7 @@ def support_grouping_sets(spark, d):
 
 def _panel(spark, d):
     """The panel, written once, and its first and last month."""
-    p = cut(signals.panel(_expanded(spark, d)))
+    p = cut(signals.panel(_written(spark, d)))
     return p, signals.month_axis(p)
 
 

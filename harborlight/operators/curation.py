@@ -102,8 +102,10 @@ def merge_audit(members: DataFrame, links: DataFrame) -> DataFrame:
     return size.join(direct, "seed", "left").select("seed", "size", F.coalesce("direct", F.lit(0)).alias("direct"))
 
 
-def one_line(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+def one_line(c: Column, most: int | None = None) -> Column:
+    """c with white space as single blanks; beyond `most` characters cut off and ended with dots, for display."""
+    t = F.trim(F.regexp_replace(c, r"\s+", " "))
+    return t if most is None else F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 1), F.lit("…"))).otherwise(t)
 
 
 def grounded(claims: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.functions import text as T
@@ -129,8 +129,9 @@ def star_clusters(nodes: DataFrame, links: DataFrame, local: int = LOCAL_LINKS)
 
 
 def group_representative(members: DataFrame, group: str, order: list[str]) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(*order)
-    return members.withColumn("is_representative", F.row_number().over(w) == 1)
+    """members plus is_representative: the first of its group by the order, which should be total. One aggregate a group and a join, so a group of any size is many tasks."""
+    first = members.groupBy(F.col(group).alias("__g")).agg(F.min(F.struct(*order)).alias("__m"))
+    return members.join(first, F.col(group).eqNullSafe(F.col("__g"))).withColumn("is_representative", F.struct(*order).eqNullSafe(F.col("__m"))).drop("__g", "__m")
 
 
 def concentration(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:

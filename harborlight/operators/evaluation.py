@@ -57,11 +57,16 @@ def near_miss_sample(pairs: DataFrame, threshold: float, band: float, n: int) ->
     return keyed.withColumn("i", F.row_number().over(local)).join(sizes, "part").withColumn("position", F.col("start") + F.col("i") - 1).where(F.col("position") % step == 0).select("a", "b", "similarity", "position")
 
 
-def precision_recall(scored: DataFrame) -> DataFrame:
-    """scored (predicted, actual booleans) -> one row (tp, fp, fn, precision, recall, f1); an empty denominator gives null."""
+def precision_recall(scored: DataFrame, strict: bool = False) -> DataFrame:
+    """scored (predicted, actual booleans) -> one row (tp, fp, fn, precision, recall, f1); an empty denominator gives null, or an error if strict: such a sample decides nothing."""
     p, a = F.col("predicted"), F.col("actual")
     g = scored.agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"))
-    return g.select("tp", "fp", "fn", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"), F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    out = g.select("tp", "fp", "fn", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"), F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    if strict:
+        r = out.first()
+        if r["precision"] is None or r["recall"] is None:
+            raise ValueError(f"nothing predicted or nothing actual: {r.asDict()}")
+    return out
 
 
 def shuffled(groups: DataFrame, family: str, key: str, value: str, seed: str) -> DataFrame:

@@ -11,7 +11,7 @@ from harborlight.session import cut
 def ranked(df: DataFrame, family: list[str], order: list[Column | str], rank: str = "rank") -> DataFrame:
     """df plus `rank`, the row's number from 1 within its family by the order, and __range, which part of the order it is in.
 
-    The order should be total, or ties are numbered as they come. Null values are ordered as Spark does; an empty table stays empty. df is written
+    A column of that name is replaced. The order should be total, or ties are numbered as they come. Null values are ordered as Spark does; an empty table stays empty. df is written
     once, so that the ranges don't change when a task is run again. Only (family, range, rows) is ever held in one place.
     """
     keys = [*map(F.col, family), *(F.col(c) if isinstance(c, str) else c for c in order)]
@@ -25,4 +25,4 @@ def ranked(df: DataFrame, family: list[str], order: list[Column | str], rank: st
     for f, k in zip(family, names):
         on = on & F.col(f).eqNullSafe(F.col(k))
     rows = parted.withColumn("__nth", F.row_number().over(inside)).join(shifts, on)
-    return rows.select(*(F.col(f"`{c}`") for c in parted.columns), (F.col("__nth") + F.col("__before")).alias(rank))
+    return rows.select(*(F.col(f"`{c}`") for c in parted.columns if c != rank), (F.col("__nth") + F.col("__before")).alias(rank))

@@ -121,7 +121,7 @@ def bh(tests: DataFrame, p: str = "p", family: str = "family", ties: tuple[str,
     down = Window.partitionBy(family, "__range").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = raw.join(later, F.col(family).eqNullSafe(F.col("__f")) & (F.col("__range") == F.col("__g")))
     q = F.least(F.min("__raw").over(down), F.col("__later"), F.lit(1.0))
-    return j.withColumn("q", F.greatest(F.lit(0.0), q)).select(*tests.columns, "q")
+    return j.withColumn("q", F.greatest(F.lit(0.0), q)).select(*(c for c in tests.columns if c != "q"), "q")
 
 
 def with_expected(cells: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ SQL: dict[str, str] = {
     "near_miss_stride_sample": """WITH p AS (SELECT DISTINCT complaint_id_a AS a, complaint_id_b AS b, similarity FROM dup_pairs WHERE similarity IS NOT NULL AND complaint_id_b IS NOT NULL AND similarity >= 0.95 - 0.07 AND similarity < 0.95),
  q AS (SELECT *, row_number() OVER (ORDER BY similarity, a, b) - 1 AS position FROM p) SELECT a, b, similarity, position FROM q WHERE position % greatest(1, (SELECT count(*) // 300 FROM p)) = 0""",
     "hash_sample": "SELECT complaint_id, sha256('seed-1:' || CAST(complaint_id AS VARCHAR)) AS draw FROM narratives ORDER BY draw, complaint_id LIMIT 50",
-    "event_values": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL",
+    "event_values": "SELECT event_type, json_extract_string(props, '$.page') AS page, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL",
     "prefix_lookup": f"""WITH {CANON}, k AS (SELECT DISTINCT company_id, string_split(upper(trim(regexp_replace(normal, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS cw, normal FROM cc),
  a AS (SELECT DISTINCT array_to_string(string_split(normal, ' ')[1:2], ' ') AS name FROM cc), aw AS (SELECT name, string_split(upper(trim(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM a),
  h AS (SELECT name, count(DISTINCT company_id) AS n, min(company_id) AS company_id FROM aw JOIN k ON cw[1] = w[1] AND cw[1:len(w)] = w GROUP BY name)

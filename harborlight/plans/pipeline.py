@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harborlight.functions import text as T
-from harborlight.operators import clustering, corpus, curation, embedding, evaluation, grouping, ranges, retrieval, review, signals, vectors
+from harborlight.operators import clustering, corpus, curation, embedding, evaluation, grouping, ranges, retrieval, review, vectors
 from harborlight.plans import queries as base
 from harborlight.session import cut
 from harborlight.session import read_table as table

@@ -518,7 +518,7 @@ def hash_sample(spark, d):
 
 def event_values(spark, d):
     e = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.page").alias("page"), F.to_date("ts").alias("day"), "value")
-    return e.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("value"))
+    return e.groupBy("event_type", "page", "day").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("value"))
 
 
 def pair_tier_report(spark, d):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.functions.text import strip_html
@@ -21,6 +24,23 @@ def entries(pages: DataFrame, html: str) -> DataFrame:
     ).drop(html)
 
 
+def crawl(spark: SparkSession, fetch: Callable[[int], str | None], most: int = 1000) -> DataFrame:
+    """(page, html) of listing pages 1, 2, ... until one brings no link that wasn't there before, or none comes; `most` guards against a site without end.
+
+    Pages of one site come one after the other, since only the last tells whether there is another; they are few.
+    """
+    seen: set[str] = set()
+    rows = []
+    for page in range(1, most + 1):
+        html = fetch(page)
+        links = set(re.findall(r'<article\b.*?href="([^"]+)".*?</article>', html or "", re.S))
+        if not links - seen:
+            return spark.createDataFrame(rows, "page int, html string")
+        seen |= links
+        rows.append((page, html))
+    raise RuntimeError(f"more than {most} pages")
+
+
 def enough(found: DataFrame, share: float = 0.9) -> bool:
     """Whether the pages gave at least this share of what they advertise."""
     r = found.agg(F.count(F.lit(1)).alias("n"), F.max("advertised").alias("a")).first()

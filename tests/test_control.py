@@ -46,6 +46,10 @@ def test_listing(spark):
     got = html_listing.entries(spark.createDataFrame([(1, html), (2, None), (3, "")], "page int, html string"), "html")
     assert [(r.page, str(r.filed_date), r.link, r.title) for r in got.collect()] == [(1, "2020-05-01", "/a", "A bank"), (1, "None", "/b", "B")]
     assert html_listing.enough(got)
+    pages = {1: html, 2: html.replace('"/b"', '"/c"'), 3: html}
+    assert [r.page for r in html_listing.crawl(spark, pages.get).collect()] == [1, 2] and html_listing.crawl(spark, lambda page: None).count() == 0
+    with pytest.raises(RuntimeError):
+        html_listing.crawl(spark, lambda page: f'<article><a href="/{page}">x</a></article>', 5)
     assert spark.createDataFrame([("<p>short</p><p>" + "long " * 20 + "</p>",)], "h string").select(html_listing.paragraphs(F.col("h")).alias("p")).first().p == ("long " * 20).strip()
 
 

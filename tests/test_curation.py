@@ -1,6 +1,8 @@
 import random
 
-from harborlight.operators import curation
+import pytest
+from harborlight.operators import curation, evaluation
+from pyspark.sql import functions as F
 
 
 def test_unique_prefix(spark):
@@ -41,3 +43,12 @@ def test_grounded(spark):
     ev = spark.createDataFrame([(1, 10, "they  charged\na fee"), (1, 11, "nothing")], "answer_id int, id int, text string")
     cl = spark.createDataFrame([(1, "charged a fee", [10]), (1, "charged a fee", [11]), (1, "charged a fee", [10, 99]), (1, "", [10]), (1, "nothing", [])], "answer_id int, claim string, cited array<int>")
     assert [r.grounded for r in curation.grounded(cl, ev).collect()].count(True) == 1
+
+
+def test_display_and_strict_measures(spark):
+    d = spark.createDataFrame([("a  b\n" + "c" * 30,), ("short",), (None,)], "t string").select(curation.one_line(F.col("t"), 10).alias("t"))
+    assert [r.t for r in d.collect()] == ["a b ccccc…", "short", None]
+    s = spark.createDataFrame([(True, False), (False, False)], "predicted boolean, actual boolean")
+    assert evaluation.precision_recall(s).first().recall is None
+    with pytest.raises(ValueError):
+        evaluation.precision_recall(s, strict=True)

@@ -7,6 +7,8 @@
    pointers form trees, which pointer doubling flattens; edges are rewritten to the tree roots and loops dropped. A round shrinks
    the edges by a constant factor whatever the shape, so a chain of n takes O(log n) rounds, not n.
 
+   Once the edges left are few, one task takes the minimum over them by union-find: the labels are the same, without a round of jobs for each halving.
+
 What the peel left unfinished (a long tail on the giant) is no special case: the reached vertices become one vertex, and the
 edges leading out of it go on to step 2. Each round is written to the checkpoint folder. Nothing but counts
 and the one starting vertex reaches the driver.
@@ -14,11 +16,16 @@ and the one starting vertex reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.session import cut, drop_cut
 
+#: At most so many edges are finished in one task (about 50 MB).
+LOCAL_EDGES = 200_000
 #: The peel goes on while a frontier holds at least this part of what has been reached.
 PEEL_SHARE = 0.05
 
@@ -57,7 +64,25 @@ def _flatten(parent: DataFrame) -> DataFrame:
             return parent
 
 
-def connected_components(pairs: DataFrame, a: str, b: str, peel: bool = True) -> DataFrame:
+def _smallest(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(v, p): for each end of the edges (a, b) the smallest id of its component."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for pdf in it:
+        for x, y in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"v": list(up), "p": [root(x) for x in list(up)]}).astype("int64")
+
+
+def connected_components(pairs: DataFrame, a: str, b: str, peel: bool = True, local: int = LOCAL_EDGES) -> DataFrame:
     """(id, group_id) for each id in a row with both ids; group_id is the smallest id of its component.
 
     Rows with a null id link nothing and bring no id. An id paired only with itself is its own group. Reversed and
@@ -80,7 +105,7 @@ def connected_components(pairs: DataFrame, a: str, b: str, peel: bool = True) ->
         drop_cut(written)
         written = edges
         n = edges.count()
-    while n:
+    while n > local:
         low = _neighbours(edges).groupBy("a").agg(F.min("b").alias("m"))
         parent = _flatten(cut(low.select(F.col("a").alias("v"), F.least("a", "m").alias("p"))))
         levels.append(parent)
@@ -89,6 +114,8 @@ def connected_components(pairs: DataFrame, a: str, b: str, peel: bool = True) ->
         drop_cut(written)
         written = edges
         n = edges.count()
+    if n:
+        levels.append(cut(edges.coalesce(1).mapInPandas(_smallest, "v long, p long")))
     label = vertices.select("v", F.col("v").alias("p"))
     for level in levels:
         up = level.select(F.col("v").alias("p"), F.col("p").alias("pp"))

@@ -31,7 +31,7 @@ DECAY, LANDMARKS, RIDGE, SEED = 0.6, 768, 0.003, 20260803
 #: passages of them, drawn by a fixed seed. Scoring has no such bound.
 MAX_LABELLED, MAX_CLEAN_PASSAGES = 9000, 6000
 #: The threshold counts for pos / (pos + SHRINK) of its fitted value: with few abusive documents to fit it on it nears 0.
-SHRINK = 20
+SHRINK = 5
 SPAN, STEP = 72, 24
 #: A passage is taken as the abusive one only if at least so many of its word pairs are strange to clean documents.
 MIN_NOVELTY = 0.4

@@ -153,7 +153,7 @@ def test_groups_dont_depend_on_the_size_of_the_table(spark):
         s = rng.sample(themes[t], 4) + [" ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(12)).capitalize() + "." for _ in range(3)]
         return " ".join(rng.sample(s, len(s)))
 
-    rows = [(i, record(list(themes)[i % 3])) for i in range(300)]
+    rows = [(i, record(list(themes)[i % 3])) for i in range(900)]  # each theme holds a third of all records
 
     def split(table):
         return {r.id: r.cluster for r in linkage.cluster_records(spark.createDataFrame(table, "id long, t string"), "id", "t")[0].collect()}

@@ -194,6 +194,12 @@ def _verify(ratio: float):
     return run
 
 
+def _meet(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """a.join(b, on, how), never by a broadcast: forms and blocks that are exploded from a table are estimated at the size of its compressed file,
+    a hundredth of what they take in the driver's memory."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _left_out(c, n):
     """All forms of the string column c of n characters with one character left out."""
     return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))
@@ -209,7 +215,7 @@ def _similar_cores(cores: DataFrame, ratio: float) -> DataFrame:
     starts = F.transform(lengths, lambda k: F.concat(F.lit("<"), F.substring("core", F.lit(1), k)))
     blocks = cores.select("scope", "core", F.explode(F.array_distinct(F.concat(ends, starts))).alias("suffix"))
     size = blocks.groupBy("scope", "suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = blocks.join(size, ["scope", "suffix"])
+    sized = _meet(blocks, size, ["scope", "suffix"])
     far = F.when(F.col("suffix").startswith(">"), F.substring("core", 1, REFINE)).otherwise(F.substring("core", F.greatest(n - REFINE + 1, F.lit(1)), F.lit(REFINE)))
     finer = F.transform(_left_out(far, F.length(far)), lambda x: F.concat_ws("|", F.col("suffix"), x))
     refined = sized.select("scope", "core", F.explode(F.when(F.col("n") <= COMMON, F.array("suffix")).otherwise(F.array_distinct(finer))).alias("block"))
@@ -223,7 +229,7 @@ def _similar_cores(cores: DataFrame, ratio: float) -> DataFrame:
     short = cores.select("scope", "core", F.explode(forms).alias("block"))
     every = refined.unionByName(short)
     a, b = (every.select("scope", "block", F.col("core").alias(f"core_{s}")) for s in "ab")
-    pairs = a.join(b, ["scope", "block"]).where("core_a < core_b")
+    pairs = _meet(a, b, ["scope", "block"]).where("core_a < core_b")
     la, lb = F.length("core_a"), F.length("core_b")
     edited = (F.least(la, lb) >= MIN_EDITED) & (F.abs(la - lb) <= 1)
     pairs = pairs.where((2 * F.least(la, lb) >= F.lit(ratio) * (la + lb)) | edited).select("scope", "core_a", "core_b").distinct()
@@ -266,7 +272,7 @@ def link_variants(aliases: DataFrame, column: str, ratio: float = RATIO) -> Data
     reach = both.unionByName(law.select(F.col("core").alias("core_a"), F.col("core").alias("core_b")).distinct())
     full = law.where("not initial").select("field", "core").distinct()
     fa, fb = full.select(F.col("field").alias("field_a"), F.col("core").alias("core_a")), full.select(F.col("field").alias("field_b"), F.col("core").alias("core_b"))
-    people = reach.join(fa, "core_a").join(fb, "core_b")
+    people = _meet(_meet(reach, fa, "core_a"), fb, "core_b")
     typo = (F.least(F.length("field_a"), F.length("field_b")) >= 4) & (F.levenshtein("field_a", "field_b") <= F.when(F.length("field_a") == F.length("field_b"), 2).otherwise(1)) & (F.substring("field_a", 1, 1) == F.substring("field_b", 1, 1))
     known = sorted(set(NICKNAMES.values()))
     differ = F.col("field_a").isin(known) & F.col("field_b").isin(known)
@@ -274,7 +280,7 @@ def link_variants(aliases: DataFrame, column: str, ratio: float = RATIO) -> Data
     # initials: the only given name with that initial (and a middle initial that doesn't contradict) among like surnames
     short = law.where("initial").select(F.col("field").alias("letter"), F.col("core").alias("core_a"), F.col("middle").alias("mid"))
     long = law.where("not initial").select("field", F.col("core").alias("core_b"), "middle")
-    fits = short.join(reach, "core_a").join(long, "core_b").where(_stands_for("letter", "field"))
+    fits = _meet(_meet(short, reach, "core_a"), long, "core_b").where(_stands_for("letter", "field"))
     fits = fits.where("mid = '' or middle = '' or mid = middle").withColumn("exact", F.expr("mid <> '' and mid = middle"))
     best = fits.groupBy("letter", "core_a", "mid").agg(
         F.collect_set("field").alias("given"), F.collect_set(F.when(F.col("exact"), F.col("field"))).alias("sure"), F.min(F.struct(~F.col("exact"), "core_b", "field")).alias("at")
@@ -284,18 +290,18 @@ def link_variants(aliases: DataFrame, column: str, ratio: float = RATIO) -> Data
     shorts = keyed.where("initial").select(_id(F.lit("alias"), "alias").alias("x"), _id(F.lit("initial"), F.col("field"), F.col("core"), F.col("middle")).alias("y"))
     sa = short.select(F.col("letter"), F.col("mid"), "core_a").distinct()
     sb = sa.select(F.col("letter").alias("l2"), F.col("mid").alias("m2"), F.col("core_a").alias("core_b"))
-    alike = sa.join(reach, "core_a").join(sb, "core_b").where("letter = l2 and mid = m2 and core_a < core_b")
+    alike = _meet(_meet(sa, reach, "core_a"), sb, "core_b").where("letter = l2 and mid = m2 and core_a < core_b")
     alike = alike.select(_id(F.lit("initial"), "letter", "core_a", "mid").alias("x"), _id(F.lit("initial"), "l2", "core_b", "m2").alias("y"))
     links = own
     for more in (firm, people, chosen, shorts, alike):
         links = links.unionByName(more)
     groups = connected_components(cut(links), "x", "y", peel=False)
     at = parsed.select("alias", _id(F.lit("alias"), "alias").alias("id")).distinct()
-    return at.join(groups, "id").select("alias", "group_id")
+    return _meet(at, groups, "id").select("alias", "group_id")
 
 
 def variant_pairs(groups: DataFrame, salts: int = 16) -> DataFrame:
     """(alias_a < alias_b): all pairs within groups; the left side of a group is salted, so that a large one is many tasks."""
     a = groups.select("group_id", F.col("alias").alias("alias_a"), F.pmod(F.xxhash64("alias"), F.lit(salts)).alias("salt"))
     b = groups.select("group_id", F.col("alias").alias("alias_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    return a.join(b, ["group_id", "salt"]).where("alias_a < alias_b").select("alias_a", "alias_b")
+    return _meet(a, b, ["group_id", "salt"]).where("alias_a < alias_b").select("alias_a", "alias_b")

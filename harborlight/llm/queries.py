@@ -17,7 +17,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     aliases = read_table(spark, d, "company_alias").select(F.col("alias_raw").alias("alias")).distinct()
-    return names.variant_pairs(cut(p1_groups(spark, d).join(aliases, "alias", "left_semi")))
+    return names.variant_pairs(cut(p1_groups(spark, d).join(aliases.hint("merge"), "alias", "left_semi")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Exact ways beside the indexes, and surrogates: each against brute force or a stated invariant."""
 
+import itertools
 import random
 import string
 import unicodedata
@@ -147,3 +148,19 @@ def test_packing_is_verified(spark):
     broken = packed.withColumn("container_offset", F.when(F.col("doc_id") == 7, F.col("container_offset") + 1).otherwise(F.col("container_offset")))
     assert not all(r.fits for r in packing.verified(broken, "doc_id").collect())
     assert packing.verified(packed.limit(0), "doc_id").count() == 0
+
+
+def test_forms_of_cores_are_never_broadcast(spark, tmp_path):
+    """A file of cores is far smaller than what is exploded from it, by which Spark would choose a broadcast."""
+    rng = random.Random(4)
+    letters = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(8, 16)))
+    cores = [letters() for _ in range(300)]
+    cores += [c[:3] + "z" + c[4:] for c in cores]
+    spark.createDataFrame([("s", c) for c in cores], "scope string, core string").write.parquet(str(tmp_path / "cores"))
+    spark.createDataFrame([(i // 3, c) for i, c in enumerate(cores)], "group_id long, alias string").write.parquet(str(tmp_path / "groups"))
+    got = names._similar_cores(spark.read.parquet(str(tmp_path / "cores")), names.RATIO)
+    pairs = names.variant_pairs(spark.read.parquet(str(tmp_path / "groups")))
+    assert {tuple(sorted((c, d))) for c, d in zip(cores[:300], cores[300:]) if c != d} <= {(r.core_a, r.core_b) for r in got.collect()}
+    assert pairs.count() == sum(1 for i in range(0, 600, 3) for a, b in itertools.combinations(cores[i : i + 3], 2) if a != b)
+    for df in (got, pairs):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

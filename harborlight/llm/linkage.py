@@ -13,7 +13,9 @@ linkage merges every mutual best pair of a round at once, which gives the same t
 below MIN_SIMILARITY.
 
 Clusters divide the records, so one whose records mostly hold openings of another cluster as well is a trait of records (a letterhead, a
-habit of the pen) and is dissolved. Each record then lies in the cluster of the greatest mean similarity to its members.
+habit of the pen) and is dissolved. Each record then lies in the cluster of the greatest mean similarity to its members. For that it is read word by
+word to its end: an associated opening counts wherever its words stand, but for the usual length of another's sentence, so sentences that are run
+together, in capitals or without an end count as others do. Clusters are learnt from sentence openings only, as words of one sentence keep each other's company by being that sentence.
 Records in which nothing is associated (reworded, mistyped) are placed by word weights learnt from the others, or belong to none.
 
 Copies would keep each other's company by being copies: near-duplicates count once, as their smallest id. No threshold depends on the size of the table but the
@@ -55,22 +57,27 @@ _WORD = re.compile(r"[a-z@]+(?:['’-][a-z]+)*|#")
 _NUMBER = re.compile(r"\$?\d[\d,./]*")
 
 
-def openings(form: str) -> list[str]:
-    """The different openings of the sentences of a text in its consistent form, in order, companies as @ and numbers as #."""
+def _sentences(form: str) -> list[list[str]]:
+    """The words of each sentence of a text in its consistent form, companies as @ and numbers as #."""
     form = COMPANY.sub("@", _TITLE.sub(r"\1 ", form))
-    keys: dict[str, None] = {}
-    for s in _SENTENCE.split(form):
-        w = _WORD.findall(_NUMBER.sub("#", s.lower()))
-        if len(w) >= OPENING:
-            keys[" ".join(w[:OPENING])] = None
-    return list(keys)
+    return [_WORD.findall(_NUMBER.sub("#", s.lower())) for s in _SENTENCE.split(form)]
+
+
+def openings(form: str) -> list[str]:
+    """The different openings of the sentences of a text in its consistent form, in order."""
+    return list(dict.fromkeys(" ".join(w[:OPENING]) for w in _sentences(form) if len(w) >= OPENING))
+
+
+def runs(form: str) -> list[list[str]]:
+    """For each sentence of a text in its consistent form all runs of OPENING words; the first is the opening."""
+    return [[" ".join(w[i : i + OPENING]) for i in range(len(w) - OPENING + 1)] for w in _sentences(form) if len(w) >= OPENING]
 
 
 def _read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         forms = [consistent(t) for t in pdf["t"]]
         words = [sorted({w for w in _WORD.findall(t.lower()) if len(w) > 2}) for t in forms]
-        yield pd.DataFrame({"id": pdf["id"], "keys": [openings(t) for t in forms], "words": words})
+        yield pd.DataFrame({"id": pdf["id"], "keys": [openings(t) for t in forms], "runs": [runs(t) for t in forms], "words": words})
 
 
 def _link(edges: list[tuple[str, str, float]], sizes: dict[str, int], least: float) -> dict[str, str]:
@@ -163,6 +170,22 @@ def _kept(read: DataFrame, keep: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "key"))), lambda s: s["key"]).alias("keys"))
 
 
+def _anywhere(read: DataFrame, copies: DataFrame, bearing: DataFrame) -> DataFrame:
+    """read (id, runs) -> (id, keys) where there are any: the openings of bearing (key) met anywhere in a record, in order. A run is its hash.
+
+    An opening's own sentence is as long as half of the sentences that begin with it; what is met within that length isn't another sentence's opening.
+    """
+    sentences = read.join(copies, "id", "left_anti").select(F.explode("runs").alias("s")).select(F.col("s")[0].alias("run"), F.size("s").alias("n"))
+    own = bearing.select(F.xxhash64("key").alias("run"), "key")
+    known = cut(own.join(sentences, "run").groupBy("run", "key").agg(F.percentile_approx("n", 0.5, 1000).alias("n")))
+    each = read.select("id", F.posexplode("runs").alias("s", "in_s")).select("id", "s", F.posexplode("in_s").alias("i", "run")).join(known, "run")
+    place = F.sort_array(F.collect_list(F.struct("s", "i", "n", "key")))
+    none = F.struct(F.lit(-1).alias("s"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("keys"))
+    more = lambda s, x: F.struct(x["s"].alias("s"), (x["i"] + F.greatest(x["n"] + OPENING - 1, F.lit(OPENING))).alias("end"), F.concat(s["keys"], F.array(x["key"])).alias("keys"))
+    take = lambda s, x: F.when((x["s"] != s["s"]) | (x["i"] >= s["end"]), more(s, x)).otherwise(s)
+    return each.groupBy("id").agg(F.aggregate(place, none, take, lambda s: F.array_distinct(s["keys"])).alias("keys"))
+
+
 def associations(originals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """originals (id, keys) -> (f < g, w) significantly associated openings with their normalised mutual information, and the support (key, n)."""
     n = originals.count()
@@ -188,7 +211,8 @@ def cluster_records(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Data
     same text count once. Few or short texts may have no cluster at all; records of a theme met fewer than SUPPORT times have none.
     """
     base = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).distinct()
-    read = cut(base.mapInPandas(_read, "id long, keys array<string>, words array<string>"))
+    parsed = base.mapInPandas(_read, "id long, keys array<string>, runs array<array<string>>, words array<string>")
+    read = cut(parsed.withColumn("runs", F.transform("runs", lambda s: F.transform(s, lambda x: F.xxhash64(x)))))
     copies = cut(copied(base))
     edges, support = associations(read.select("id", "keys").join(copies, "id", "left_anti"))
     both = edges.unionByName(edges.select(F.col("g").alias("f"), F.col("f").alias("g"), "w"))
@@ -215,15 +239,18 @@ def cluster_records(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Data
     several = touched.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
     themes = cut(touched.join(several, "id").groupBy("cluster").agg(F.avg((F.col("c") == 1).cast("double")).alias("share")).where(F.col("share") >= LEAST_ALONE).select("cluster"))
     members = sizes.join(tree, "node").groupBy("cluster").agg(F.sum("n").alias("size"))
-    mean = whole.join(themes, "cluster").join(members, "cluster").join(assoc, "f").groupBy("cluster", F.col("g").alias("f")).agg((F.sum(F.col("u") * F.col("w") / F.col("size"))).alias("v"))
-    close = vector.join(mean, "f").groupBy("id", "cluster").agg(F.round(F.sum(F.col("u") * F.col("v")), 9).alias("weight"))
+    # similarities of records to clusters, both by all they hold
+    full = cut(_anywhere(read, copies, bearing).select("id", F.explode("keys").alias("f"), (1 / F.size("keys")).alias("u")))
+    held_by = full.join(lead, "id").join(tree, "node").groupBy("cluster", "f").agg(F.sum("u").alias("u"))
+    mean = held_by.join(themes, "cluster").join(members, "cluster").join(assoc, "f").groupBy("cluster", F.col("g").alias("f")).agg((F.sum(F.col("u") * F.col("w") / F.col("size"))).alias("v"))
+    close = full.join(mean, "f").groupBy("id", "cluster").agg(F.round(F.sum(F.col("u") * F.col("v")), 9).alias("weight"))
     best = close.groupBy("id").agg(F.max_by(F.struct("cluster", "weight"), F.struct("weight", "cluster")).alias("b"))
     linked = cut(best.where(F.col("b.weight") >= MIN_SIMILARITY).select("id", "b.cluster", "b.weight"))
     placed = _by_words(read, linked)
     records = read.select("id").join(linked.unionByName(placed), "id", "left").withColumnRenamed("id", key)
     nodes = owner.join(themes, "cluster").join(support.withColumnRenamed("key", "f"), "f").select(F.col("f").alias("node"), "cluster", "n")
     records, nodes = cut(records), cut(nodes)
-    drop_cut(read, copies, edges, support, assoc, held, vector, summed, tree, whole, themes, linked)
+    drop_cut(read, copies, edges, support, assoc, held, vector, summed, tree, whole, full, themes, linked)
     return records, nodes
 
 

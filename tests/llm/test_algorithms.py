@@ -290,3 +290,19 @@ def test_abuse_scores_held_out(spark):
     assert {r.source for r in abuse.source_rates(scored, "source").collect()} == {None, "s1"}
     empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
     assert abuse.fit_labelled(empty.drop("toxic"), "doc_id", "text", empty.select("doc_id", "toxic"), "toxic").threshold == 0.0
+
+
+def test_texts_are_read_to_their_end(spark):
+    """Records without sentence ends or in capitals lie in the theme that their later words tell, whatever they begin with."""
+    rng = random.Random(11)
+    themes = {t: [f"{w} {t} {k} thing happened to my {t} account." for k, w in enumerate(["The", "My", "Their", "Some", "No", "Every", "Any", "Each"])] for t in ("escrow", "parcel", "ticket")}
+    own = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(30)).capitalize() + "."
+    rows = [(i, " ".join([own(), *rng.sample(themes[list(themes)[i % 3]], 4)])) for i in range(900)]
+    plain = [(1000 + i, " ".join([own(), *rng.sample(themes[list(themes)[i % 3]], 4)]).replace(".", "")) for i in range(9)]
+    plain += [(2000 + i, " ".join([own(), *rng.sample(themes[list(themes)[i % 3]], 4)]).upper()) for i in range(9)]
+    records, _ = linkage.cluster_records(spark.createDataFrame(rows + plain, "id long, t string"), "id", "t")
+    got = {r.id: r for r in records.collect()}
+    of = [{got[i].cluster for i in range(k, 900, 3)} for k in range(3)]
+    assert all(len(x) == 1 for x in of) and len(set.union(*of)) == 3 and None not in set.union(*of)
+    for i, _ in plain:
+        assert {got[i].cluster} == of[i % 1000 % 3] and got[i].weight > 0, i
